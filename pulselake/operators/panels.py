@@ -5,14 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulselake.functions.labels import label_match
 from pulselake.functions.times import div, duration_seconds, instant
-from pulselake.operators.series import NANOS
+from pulselake.operators.alerts import BROADCAST_RULES
 from pulselake.sources.tables import PROMOTED
 
 # A panel shows this many refresh intervals.
@@ -99,18 +97,29 @@ def trace_table_rows(traces: DataFrame) -> DataFrame:
 
 
 def first_of_selectors(points: DataFrame, wanted: list[dict[str, str]], n: int, tie: list[str]) -> DataFrame:
-    """The earliest ``n`` points for each of many label selectors, in one scan (column ``query``).
+    """The earliest ``n`` points for each of many label selectors (column ``query``).
 
-    A dashboard asks many small questions at once; here they share the scan, and each map task keeps only
-    ``n`` rows per question before the shuffle.
+    A dashboard asks many small questions at once; here those over the same labels share one scan and one
+    hash lookup per row, and each map task keeps only ``n`` rows per question before the shuffle.
     """
     promoted = {k: c for k, c in PROMOTED["metrics"].items() if c in points.columns}
-    conditions: list[Column] = [label_match(w, promoted=promoted) for w in wanted]
-    hits = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)]))
+    by_labels: dict[tuple[str, ...], list[tuple]] = {}
+    for i, labels in enumerate(wanted):
+        names = tuple(sorted(labels))
+        by_labels.setdefault(names, []).append((i, *[labels[k] for k in names]))
+    parts = []
+    for names, rows in by_labels.items():
+        fields = ["query int", *[f"_label_{j} string" for j in range(len(names))]]
+        asked = points.sparkSession.createDataFrame(rows, ", ".join(fields))
+        if len(rows) <= BROADCAST_RULES:
+            asked = F.broadcast(asked)
+        columns = [F.col(promoted[k]) if k in promoted else F.col("labels")[k] for k in names]
+        parts.append(points.join(asked, [c == F.col(f"_label_{j}") for j, c in enumerate(columns)]).drop(
+            *[f"_label_{j}" for j in range(len(names))]
+        ))
     order = [F.col("time_unix_nano"), *map(F.col, tie)]
     return (
-        points.where(reduce(or_, conditions))
-        .select("*", F.explode(hits).alias("query"))
+        reduce(DataFrame.unionByName, parts)
         .withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
         .where(F.col("position") <= n)
     )

@@ -93,7 +93,8 @@ def span_events(points: DataFrame) -> DataFrame:
         *SPAN_KEY,
         "time_unix_nano",
         "event_name",
-        F.create_map(F.col("event_attr_key"), F.col("value")).alias("attributes"),
+        # Guarded, as a later filter on the map may be evaluated ahead of the one above.
+        F.when(F.col("event_attr_key").isNotNull(), F.create_map("event_attr_key", "value")).alias("attributes"),
     )
 
 
