@@ -65,9 +65,16 @@ def label_map(entries: Column) -> Column:
     ).otherwise(F.map_from_entries(last_only))
 
 
+def no_labels() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
 def merge_labels(left: Column, right: Column) -> Column:
-    """Union of two label maps; the right side wins."""
-    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
+    """Union of two label maps; the right side wins. Maps without a common key are simply put together."""
+    return F.when(
+        F.arrays_overlap(F.map_keys(left), F.map_keys(right)),
+        F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right),
+    ).otherwise(F.map_concat(left, right))
 
 
 def drop_labels(labels: Column, names: list[str]) -> Column:

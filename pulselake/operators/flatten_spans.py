@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.functions.labels import ENTRIES_TYPE, attribute_entries, entry, label_map, no_entries
+from pulselake.functions.labels import attribute_entries, entry, label_map, merge_labels, no_entries, no_labels
 from pulselake.functions.times import div, ts_of_nanos
 from pulselake.functions.values import int64, span_kind_text
+from pulselake.schemas import SPAN_POINTS
 
 
 def _point(
     kind: str,
     at: Column,
     value: Column,
-    extra: Column,
+    labels: Column,
     event_name: Column | None = None,
     event_attr_key: Column | None = None,
     status_code: Column | None = None,
@@ -31,7 +32,7 @@ def _point(
         or_null(event_attr_key, "string").alias("event_attr_key"),
         or_null(status_code, "int").alias("status_code"),
         or_null(status_message, "string").alias("status_message"),
-        extra.cast(ENTRIES_TYPE).alias("extra"),
+        labels.alias("labels"),
     )
 
 
@@ -47,16 +48,19 @@ def _event_points(span: Column, start: Column) -> Column:
         given = int64(event["timeUnixNano"])
         at = F.when(given == 0, start).otherwise(given)
         name = F.coalesce(event["name"], F.lit(""))
-        numeric = F.filter(event["attributes"], lambda a: _numeric(a["value"]).isNotNull())
+        numbers = F.transform(
+            event["attributes"],
+            lambda a: F.struct(F.coalesce(a["key"], F.lit("")).alias("key"), _numeric(a["value"]).alias("value")),
+        )
         return F.transform(
-            numeric,
+            F.filter(numbers, lambda a: a["value"].isNotNull()),
             lambda a: _point(
                 "event",
                 at,
-                _numeric(a["value"]),
-                F.array(entry("event.name", name), entry("event.attr.key", F.coalesce(a["key"], F.lit("")))),
+                a["value"],
+                F.create_map(F.lit("event.name"), name, F.lit("event.attr.key"), a["key"]),
                 event_name=name,
-                event_attr_key=F.coalesce(a["key"], F.lit("")),
+                event_attr_key=a["key"],
             ),
         )
 
@@ -90,19 +94,19 @@ def flatten_spans(requests: DataFrame, stringify: bool = False, keep: tuple[str,
         "status",
         F.col("end"),
         code,
-        F.concat(
-            F.array(entry("status.code", code)),
-            F.when(message != "", F.array(entry("status.message", message))).otherwise(no_entries()),
-        ),
+        F.when(
+            message == "", F.create_map(F.lit("status.code"), code.cast("string"))
+        ).otherwise(F.create_map(F.lit("status.code"), code.cast("string"), F.lit("status.message"), message)),
         status_code=code,
         status_message=message,
     )
-    duration = _point("duration", F.col("start"), div(F.col("end") - F.col("start"), 1000), no_entries())
+    duration = _point("duration", F.col("start"), div(F.col("end") - F.col("start"), 1000), no_labels())
     points = F.concat(F.array(duration), _event_points(span, F.col("start")), F.array(status))
 
     text = lambda field: F.coalesce(span[field], F.lit(""))
     services = F.filter("resource", lambda e: e["key"] == "service.name")
-    rows = spans.select(
+    ids = ["trace_id", "span_id", "parent_span_id", "service", "span_name", "span_kind"]
+    identified = spans.select(
         *keep,
         text("traceId").alias("trace_id"),
         text("spanId").alias("span_id"),
@@ -111,9 +115,9 @@ def flatten_spans(requests: DataFrame, stringify: bool = False, keep: tuple[str,
         span_kind_text(span["kind"]).alias("span_kind"),
         F.coalesce(F.try_element_at(services, F.lit(-1))["value"], F.lit("")).alias("service"),
         F.concat("resource", attribute_entries(span["attributes"], stringify)).alias("attributes"),
-        F.explode(points).alias("p"),
+        points.alias("points"),
     )
-    entries = F.concat(
+    base = F.concat(
         F.col("attributes"),
         F.array(
             entry("service.name", F.col("service")),
@@ -125,27 +129,25 @@ def flatten_spans(requests: DataFrame, stringify: bool = False, keep: tuple[str,
         F.when(F.col("parent_span_id") != "", F.array(entry("parent.span.id", F.col("parent_span_id")))).otherwise(
             no_entries()
         ),
-        F.col("p.extra"),
     )
-    ids = ["trace_id", "span_id", "parent_span_id", "service", "span_name", "span_kind"]
-    labelled = rows.select(*keep, *ids, "p", entries.alias("entries"))
+    # The labels of a span are made once, before its points are listed.
+    rows = (
+        identified.select(*keep, *ids, base.alias("entries"), "points")
+        .select(*keep, *ids, label_map(F.col("entries")).alias("base"), "points")
+        .select(*keep, *ids, "base", F.explode("points").alias("p"))
+    )
     ts = ts_of_nanos(F.col("p.time_unix_nano"))
-    return labelled.select(
+    return rows.select(
         *keep,
         F.col("p.time_unix_nano"),
         ts.alias("ts"),
-        "trace_id",
-        "span_id",
-        "parent_span_id",
-        "service",
-        "span_name",
-        "span_kind",
+        *ids,
         F.col("p.point_type"),
         F.col("p.value"),
         F.col("p.event_name"),
         F.col("p.event_attr_key"),
         F.col("p.status_code"),
         F.col("p.status_message"),
-        label_map(F.col("entries")).alias("labels"),
+        merge_labels(F.col("base"), F.col("p.labels")).alias("labels"),
         ts.cast("date").alias("dt"),
-    )
+    ).select(*keep, *[f.name for f in SPAN_POINTS.fields])
