@@ -30,8 +30,12 @@ def error_rate(level: str = "level", error: str = "ERROR") -> Column:
 
 
 def latest(value: str = "value", at: str = "time_unix_nano") -> Column:
-    """Value at the greatest time; of several at that time the greatest."""
-    return F.max(F.struct(F.col(at), F.col(value)))[value]
+    """Value at the greatest time. Of several values at that very instant it may be any one.
+
+    Number and time are held as plain aggregation buffers, so Spark hashes instead of sorting its input;
+    a struct buffer, which could order such values, takes two to three times as long.
+    """
+    return F.max_by(value, at)
 
 
 def percentile_estimate(percent: float, value: str = "value", accuracy: int = 10_000) -> Column:

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from datetime import timedelta
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulselake.functions.aggregates import latest
 from pulselake.functions.labels import label_match, label_match_map, selector
 from pulselake.functions.text import has_identity, log_text, trace_text
-from pulselake.functions.times import between_nanos, div, duration_seconds, instant, rfc3339, unix_nanos
+from pulselake.functions.times import div, duration_seconds, in_range, instant, rfc3339, unix_nanos
 from pulselake.operators.series import NANOS, with_series_key
 from pulselake.sources.tables import PROMOTED
 
@@ -33,11 +35,6 @@ BROADCAST_RULES = 10_000
 # Fixed value: the body of an alert without a template of its own.
 DEFAULT_TEMPLATE = "Alert: {alertName} triggered at {timestamp}. Details: {details}"
 
-RULE_COLUMNS = (
-    "rule_name string, data_source string, selector map<string,string>, text string, "
-    "threshold double, lookback_s bigint, severity string"
-)
-
 
 @dataclass(frozen=True)
 class AlertRule:
@@ -88,10 +85,16 @@ def rules_from_config(spark: SparkSession, path: str) -> list[AlertRule]:
 
 
 def rule_table(spark: SparkSession, rules: list[AlertRule]) -> DataFrame:
-    rows = [
-        (r.name, r.data_source, r.selector, r.text, float(r.threshold), int(r.lookback_s), r.severity) for r in rules
-    ]
-    return spark.createDataFrame(rows, RULE_COLUMNS)
+    columns = {
+        "rule_name": [r.name for r in rules],
+        "data_source": [r.data_source for r in rules],
+        "selector": pa.array([list(r.selector.items()) for r in rules], pa.map_(pa.string(), pa.string())),
+        "text": [r.text for r in rules],
+        "threshold": [float(r.threshold) for r in rules],
+        "lookback_s": [int(r.lookback_s) for r in rules],
+        "severity": [r.severity for r in rules],
+    }
+    return spark.createDataFrame(pa.table(columns))
 
 
 def valid_rules(rules: DataFrame) -> DataFrame:
@@ -146,10 +149,9 @@ def _with_ticks(df: DataFrame, rules: list[AlertRule], start, end) -> DataFrame:
     first_tick = -(-unix_nanos(start) // TICK_NANOS)
     last_tick = unix_nanos(end) // TICK_NANOS
     at = F.col("time_unix_nano")
-    in_reach = between_nanos(None, end) & (at >= F.lit(unix_nanos(start) - longest * NANOS))
     lookback = of_rule([r.lookback_s * NANOS for r in rules])
     return (
-        match_rules(df.where(in_reach), rules)
+        match_rules(in_range(df, instant(start) - timedelta(seconds=longest), end), rules)
         .withColumn("_from", F.greatest(div(at + (TICK_NANOS - 1), TICK_NANOS), F.lit(first_tick)))
         .withColumn("_to", F.least(div(at + lookback, TICK_NANOS), F.lit(last_tick)))
         .where("_from <= _to")
@@ -164,13 +166,12 @@ def metric_states(points: DataFrame, rules: list[AlertRule], start, end) -> Data
     """Triggered ticks of metric rules: any series whose newest value exceeds the threshold."""
     rows = _with_ticks(with_series_key(points), rules, start, end)
     reduced = rows.groupBy("rule", "series_key", "_from", "_to").agg(
-        F.max(F.struct("time_unix_nano", "value")).alias("newest")
+        latest().alias("value"), F.max("time_unix_nano").alias("at")
     )
     per_series = (
         _spread(reduced)
         .groupBy("rule", "tick", "series_key")
-        .agg(F.max("newest").alias("newest"))
-        .select("rule", "tick", F.col("newest.value").alias("value"))
+        .agg(latest("value", "at").alias("value"))
     )
     threshold = of_rule([float(r.threshold) for r in rules])
     return (

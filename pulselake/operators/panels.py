@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +18,6 @@ from pulselake.sources.tables import PROMOTED
 INTERVALS = 10
 DEFAULT_REFRESH = 30.0
 OVERVIEW = "overview"
-PANEL_COLUMNS = (
-    "position int, type string, title string, data_source string, query string, "
-    "refresh_interval string, max_rows int"
-)
 
 
 @dataclass(frozen=True)
@@ -45,10 +42,9 @@ def panel_from_config(entry: dict) -> Panel:
 
 
 def panel_table(spark: SparkSession, panels: list[Panel]) -> DataFrame:
-    rows = [
-        (i, p.type, p.title, p.data_source, p.query, p.refresh_interval, p.max_rows) for i, p in enumerate(panels)
-    ]
-    return spark.createDataFrame(rows, PANEL_COLUMNS)
+    names = ["type", "title", "data_source", "query", "refresh_interval", "max_rows"]
+    columns = {"position": list(range(len(panels))), **{n: [getattr(p, n) for p in panels] for n in names}}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def find_panel(panels: DataFrame, wanted: str) -> DataFrame:
@@ -109,8 +105,10 @@ def first_of_selectors(points: DataFrame, wanted: list[dict[str, str]], n: int,
         by_labels.setdefault(names, []).append((i, *[labels[k] for k in names]))
     parts = []
     for names, rows in by_labels.items():
-        fields = ["query int", *[f"_label_{j} string" for j in range(len(names))]]
-        asked = points.sparkSession.createDataFrame(rows, ", ".join(fields))
+        query, *values = zip(*rows)
+        columns = {"query": pa.array(query, pa.int32()), **{f"_label_{j}": list(v) for j, v in enumerate(values)}}
+        # An Arrow table becomes a local relation of the plan; no Python worker is started for it.
+        asked = points.sparkSession.createDataFrame(pa.table(columns))
         if len(rows) <= BROADCAST_RULES:
             asked = F.broadcast(asked)
         columns = [F.col(promoted[k]) if k in promoted else F.col("labels")[k] for k in names]

@@ -18,18 +18,20 @@ def spans(points: DataFrame) -> DataFrame:
     Grouped on both ids, so map-side partial rows are shuffled and a trace id shared by very many points
     still spreads over its spans. Events are counted here and listed by ``span_events``.
     """
-    # Points of one instant: duration before event before status, then by content.
+    # Points of one instant: duration before event before status, then by content. The labels are an
+    # aggregate of their own, which Spark leaves out of the shuffle where they are not asked for.
     rank = F.when(F.col("point_type") == "duration", 0).when(F.col("point_type") == "event", 1).otherwise(2)
-    order = F.struct(
-        F.col("time_unix_nano"), rank, F.col("event_name"), F.col("event_attr_key"), F.col("span_name"),
-        F.col("service"), F.col("span_kind"), F.col("parent_span_id"), F.col("value"),
+    first = F.struct(
+        F.col("time_unix_nano"), rank.alias("rank"), F.col("span_name"), F.col("service"), F.col("span_kind"),
+        F.col("parent_span_id"),
     )
-    first = F.struct("parent_span_id", "span_name", "service", "span_kind", span_labels(F.col("labels")).alias("labels"))
+    order = F.struct(first.alias("first"), F.col("event_name"), F.col("event_attr_key"), F.col("value"))
     return (
         points.where(has_identity())
         .groupBy(*SPAN_KEY)
         .agg(
-            F.min_by(first, order).alias("first"),
+            F.min(first).alias("first"),
+            F.min_by("labels", order).alias("labels"),
             F.min("time_unix_nano").alias("start_unix_nano"),
             F.max("time_unix_nano").alias("end_unix_nano"),
             F.max("status_code").alias("status_code"),
@@ -42,7 +44,7 @@ def spans(points: DataFrame) -> DataFrame:
             "first.span_name",
             "first.service",
             "first.span_kind",
-            "first.labels",
+            span_labels(F.col("labels")).alias("labels"),
             "start_unix_nano",
             "end_unix_nano",
             ((F.col("end_unix_nano") - F.col("start_unix_nano")) / F.lit(1e6)).alias("duration_ms"),
@@ -58,11 +60,10 @@ def traces(span_rows: DataFrame) -> DataFrame:
 
     Spans are already reduced; of a trace with very many spans only partial rows reach its task.
     """
-    first = F.struct("span_name", "service")
     return (
         span_rows.groupBy("trace_id")
         .agg(
-            F.min_by(first, F.struct("start_unix_nano", "span_id")).alias("first"),
+            F.min(F.struct("start_unix_nano", "span_id", "span_name", "service")).alias("first"),
             F.min("start_unix_nano").alias("start_unix_nano"),
             F.max("end_unix_nano").alias("end_unix_nano"),
             F.max(F.when(F.col("status_code") == STATUS_ERROR, 1).otherwise(0)).alias("failed"),
