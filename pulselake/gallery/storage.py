@@ -164,7 +164,7 @@ newest AS (
   SELECT rule_name, severity, threshold, tick, user_id, arg_max(value, ts) AS value
   FROM events JOIN rules ON event_type = name AND coalesce(person, user_id) = user_id
   JOIN ticks ON ts >= tick - INTERVAL 5 MINUTE AND ts < tick
-  WHERE tick <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events WHERE event_type = 'error' OR (event_type = 'click' AND user_id = 8))
+  WHERE tick <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)
   GROUP BY ALL
 ),
 states AS (

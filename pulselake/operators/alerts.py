@@ -127,14 +127,19 @@ def _condition(rule: AlertRule, columns: list[str]) -> Column:
     return has_identity() & trace_text(rule.text)
 
 
-def match_rules(df: DataFrame, rules: list[AlertRule]) -> DataFrame:
+def match_rules(df: DataFrame, rules: list[AlertRule], watermarked: str | None = None) -> DataFrame:
     """One row per row and matching rule, with the rule's position as ``rule``; no join.
 
-    The rules are literals of the plan, so their common filter is pushed into the scan.
+    The rules are literals of the plan, so their common filter is pushed into the scan. On a stream
+    ``watermarked`` names the event-time column: rows that match no rule must still move the watermark, and
+    Spark keeps a condition above the watermark only if it reads that column.
     """
     conditions = [_condition(r, df.columns) for r in rules]
+    if watermarked:
+        conditions = [c & (F.col(watermarked) > F.lit("0001-01-02")) for c in conditions]
     matching = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)]))
-    return df.where(reduce(or_, conditions)).select("*", F.explode(matching).alias("rule"))
+    kept = df if watermarked else df.where(reduce(or_, conditions))
+    return kept.select("*", F.explode(matching).alias("rule"))
 
 
 def of_rule(values: list, rule: Column | str = "rule") -> Column:

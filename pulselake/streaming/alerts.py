@@ -37,7 +37,7 @@ def states(stream: DataFrame, rules: list[AlertRule], delay: str = DELAY) -> Dat
     if source == "metrics":
         stream = with_series_key(stream)
     window = F.window("ts", f"{lookback} seconds", f"{TICK_SECONDS} seconds").alias("window")
-    matched = match_rules(stream, rules).withWatermark("ts", delay)
+    matched = match_rules(stream.withWatermark("ts", delay), rules, watermarked="ts")
     if source == "metrics":
         threshold = of_rule([float(r.threshold) for r in rules])
         per_series = matched.groupBy(window, "rule", "series_key").agg(latest().alias("value"))

@@ -26,9 +26,17 @@ def write_batch(bodies: DataFrame, batch_id: int, signal: str, path: str, reject
     """One micro-batch: rows to ``path``, undecodable bodies to ``rejected``.
 
     Each lands in partitions named after the batch and replaces what is there, so a batch repeated after a
-    failure leaves its rows once. A row whose time cannot be read is rejected too.
+    failure leaves its rows once. A row whose time cannot be read is rejected too. Each body is parsed once
+    for both tables.
     """
-    parsed = parse(bodies, signal, column)
+    parsed = parse(bodies, signal, column).persist()
+    try:
+        _store(parsed, batch_id, signal, path, rejected, column)
+    finally:
+        parsed.unpersist()
+
+
+def _store(parsed: DataFrame, batch_id: int, signal: str, path: str, rejected: str, column: str) -> None:
     rows = FLATTEN[signal](well_formed(parsed))
     (
         writer(
