@@ -9,7 +9,7 @@ from pulselake.functions.text import has_identity
 from pulselake.gallery.registry import query
 from pulselake.gallery.tables import order_span_points, span_requests
 from pulselake.operators.traces import (
-    nested_events, nested_spans, newest_traces, span_events, spans, traces,
+    nested_events, nested_spans, newest_traces, span_events, spans, spans_of, traces,
 )
 from pulselake.plans.queries import matching_span_points, trace_query
 from pulselake.sources.tables import scan, where_labels
@@ -99,8 +99,9 @@ SELECT trace_id, 0 AS part,
 FROM s JOIN n USING (trace_id) WHERE r = 1 GROUP BY trace_id""")
 def trace_spans_nested(spark, sf_dir):
     """The newest traces with their spans attached."""
-    span_rows = spans(order_span_points(spark, sf_dir))
-    rows = nested_spans(span_rows, newest_traces(traces(span_rows), 100))
+    points = order_span_points(spark, sf_dir)
+    newest = newest_traces(traces(spans(points)), 100)
+    rows = nested_spans(spans_of(points, newest), newest)
     text = F.transform(
         "spans",
         lambda s: F.concat(

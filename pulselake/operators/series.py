@@ -80,13 +80,16 @@ def first_per_series(points: DataFrame, n: int, tie: list[str] | None = None) ->
     )
 
 
-def matrix(points: DataFrame, chunk_seconds: int = 3600, max_values: int = 10_000, by: str = "series_key") -> DataFrame:
+def matrix(points: DataFrame, chunk_seconds: int | None = 600, max_values: int = 10_000, by: str = "series_key") -> DataFrame:
     """Series as arrays of ``(unix seconds, value)``, each array one stretch of time.
 
     A series is cut at whole ``chunk_seconds``, and a stretch with more than ``max_values`` points goes on
-    in further parts, so no array and no task holds a whole series. One shuffle, on (series, stretch).
+    in further parts, so no array and no task holds a whole series. One shuffle, on (series, stretch); a
+    stretch is ordered on disk where it does not fit memory. The busier a series, the shorter the stretches
+    should be. ``None`` makes one stretch of the whole time, for points already limited in number.
     """
-    start = div(F.col("time_unix_nano"), chunk_seconds * NANOS) * chunk_seconds
+    length = chunk_seconds or 0
+    start = div(F.col("time_unix_nano"), length * NANOS) * length if length else F.lit(0).cast("bigint")
     order = Window.partitionBy(by, "chunk_start").orderBy("time_unix_nano", "value")
     rows = (
         with_series_key(points)

@@ -114,6 +114,15 @@ def in_parts(rows: DataFrame, keys: list[str], counts: DataFrame, item, out: str
     )
 
 
+def spans_of(points: DataFrame, trace_rows: DataFrame) -> DataFrame:
+    """The spans of the given traces.
+
+    Points of other traces are dropped in the scan stage where the traces are few, as after a limit: Spark
+    broadcasts their ids by its own size estimate, and only the wanted points are shuffled.
+    """
+    return spans(points.join(trace_rows.select("trace_id"), "trace_id", "left_semi"))
+
+
 def nested_spans(span_rows: DataFrame, trace_rows: DataFrame, part_size: int = 1000) -> DataFrame:
     """The spans of the given traces as arrays ``spans``, ordered by start, one row per trace and part."""
     item = F.struct(

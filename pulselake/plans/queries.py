@@ -52,16 +52,20 @@ def metric_query(
     limit: int | None = METRIC_LIMIT,
     now=None,
 ) -> DataFrame:
-    """Matrix of a metric query. With ``step`` each series is averaged per step before the limit counts."""
+    """Matrix of a metric query. With ``step`` each series is averaged per step before the limit counts.
+
+    Within a limit each series is one array; without one it comes in stretches of time.
+    """
+    chunk = {"chunk_seconds": None} if limit else {}
     if not step:
-        return matrix(metric_points(points, labels, start, end, limit, now))
+        return matrix(metric_points(points, labels, start, end, limit, now), **chunk)
     step_seconds = int(duration_seconds(step))
     if step_seconds < 1:
         raise ValueError(f"step below one second: {step!r}")
     stepped = downsample(
         metric_points(points, labels, start, end, None, now), step_seconds, [F.avg("value").alias("value")]
     ).select("series_key", (F.unix_micros("bucket") * 1000).alias("time_unix_nano"), "value")
-    return matrix(earliest(stepped, limit, ["series_key", "value"]) if limit else stepped)
+    return matrix(earliest(stepped, limit, ["series_key", "value"]) if limit else stepped, **chunk)
 
 
 def log_query(

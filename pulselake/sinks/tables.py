@@ -71,31 +71,49 @@ def unexpired(df: DataFrame, signal: str, now: datetime | str, keep: str | None
     return in_range(df, cutoff(signal, now, keep), None)
 
 
+def _partitions(spark: SparkSession, table: str) -> DataFrame:
+    """The partitions of a catalog table: their day and all their values by column."""
+    parts = F.split("partition", "/")
+    value = lambda p: F.struct(F.substring_index(p, "=", 1).alias("column"), F.substring_index(p, "=", -1).alias("value"))
+    return spark.sql(f"SHOW PARTITIONS {table}").select(
+        F.substring_index(F.get(parts, 0), "=", -1).alias("day"), F.transform(parts, value).alias("spec")
+    )
+
+
+def _drop(spark: SparkSession, table: str, partitions: DataFrame, at_once: int = 100) -> None:
+    rows = partitions.collect()  # metadata: one row a partition folder
+    for i in range(0, len(rows), at_once):
+        specs = ["PARTITION (" + ", ".join(f"{c} = '{v}'" for c, v in r.spec) + ")" for r in rows[i : i + at_once]]
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(specs)}")
+
+
 def retain(spark: SparkSession, table: str, signal: str, now: datetime | str, keep: str | None = None) -> None:
     """Drops the days of a catalog table before the cutoff and rewrites the day the cutoff falls in.
 
     Whole days go without reading a row. Of the cutoff's day only the rows kept are read, and written with
-    dynamic partition overwrite, which replaces that day alone when the job commits; a lost executor or a
-    second run does no harm.
+    dynamic partition overwrite, which replaces what it writes when the job commits; a lost executor or a
+    second run does no harm. Partitions of that day without a row left are dropped.
     """
     limit = cutoff(signal, now, keep)
-    days = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]  # one row a day
-    expired = sorted(d for d in days if d < limit.date().isoformat())
-    for i in range(0, len(expired), 100):
-        specs = ", ".join(f"PARTITION (dt = '{d}')" for d in expired[i : i + 100])
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
-    if limit.date().isoformat() in days and (limit.hour, limit.minute, limit.second, limit.microsecond) != (0, 0, 0, 0):
-        day = spark.table(table).where(F.col("dt") == F.lit(limit.date()))
-        kept = unexpired(day, signal, now, keep)
-        if kept.isEmpty():
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (dt = '{limit.date().isoformat()}')")
-        else:
-            described = spark.sql(f"DESCRIBE FORMATTED {table}")
-            location = described.where("col_name = 'Location'").first()["data_type"]
-            (
-                writer(contract(kept, signal), signal)
-                .mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .parquet(location)
-            )
-            spark.catalog.refreshTable(table)
+    day = limit.date().isoformat()
+    partitions = _partitions(spark, table)
+    _drop(spark, table, partitions.where(F.col("day") < day))
+    of_day = partitions.where(F.col("day") == day)
+    first = of_day.first()
+    if first is None or (limit.hour, limit.minute, limit.second, limit.microsecond) == (0, 0, 0, 0):
+        return
+    columns = tuple(c for c, _ in first.spec)
+    kept = unexpired(spark.table(table).where(F.col("dt") == F.lit(limit.date())), signal, now, keep)
+    left = [F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns]).alias("left")]
+    found = kept.select(*left).distinct()
+    folder = F.array_join(F.transform("spec", lambda s: F.concat(s["column"], F.lit("="), s["value"])), "/")
+    empty = of_day.join(found, folder == F.col("left"), "left_anti")
+    _drop(spark, table, empty)
+    location = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
+    (
+        writer(contract(kept, signal, columns[1:]), signal, columns)
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .parquet(location)
+    )
+    spark.catalog.refreshTable(table)

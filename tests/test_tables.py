@@ -68,6 +68,18 @@ def test_retain_drops_days_and_rewrites_one(spark):
     spark.sql(f"DROP TABLE {table}")
 
 
+def test_retain_keeps_further_partition_columns(spark):
+    table = "kept_batches"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    df = days(spark, 3).withColumn("ingest_batch", F.col("labels")["host"].cast("int") % 2)
+    df.write.partitionBy("dt", "ingest_batch").format("parquet").saveAsTable(table)
+    retain(spark, table, "metrics", "2024-01-03T07:00:00Z", "1d")
+    assert sorted((str(r.dt), r.ingest_batch, r.n) for r in spark.table(table).groupBy("dt", "ingest_batch").agg(
+        F.count("*").alias("n")).collect()) == [
+        ("2024-01-02", 0, 1), ("2024-01-02", 1, 1), ("2024-01-03", 0, 2), ("2024-01-03", 1, 2)]
+    spark.sql(f"DROP TABLE {table}")
+
+
 def test_json_sink(spark, tmp_path):
     write_json(days(spark, 1).select("name", "labels"), str(tmp_path / "json"))
     assert spark.read.text(str(tmp_path / "json")).where("value like '%\"labels\":{%'").count() == 4
