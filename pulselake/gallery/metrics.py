@@ -145,15 +145,15 @@ def user_predicate(spark, sf_dir):
                          limit=0, where=predicate).select("event_id", "value")
 
 
-@F.pandas_udf("boolean")
-def _near_whole(values: pd.Series) -> pd.Series:
+def _whole(values: pd.Series) -> pd.Series:
     return (values * 100).round() % 100 == 0
 
 
 @query("SELECT event_id, value FROM events WHERE CAST(round(value * 100) AS BIGINT) % 100 = 0")
 def user_predicate_pandas(spark, sf_dir):
     """A vectorised Python predicate, where a Column cannot say it."""
-    return event_points(spark, sf_dir).where(_near_whole("value")).select("event_id", "value")
+    whole = F.pandas_udf(_whole, "boolean")
+    return event_points(spark, sf_dir).where(whole("value")).select("event_id", "value")
 
 
 @query(f"SELECT {KEY} AS series_key, count(*) AS points FROM events GROUP BY event_type, user_id")
@@ -162,12 +162,12 @@ def series_list(spark, sf_dir):
 
 
 @query(f"""
-SELECT {KEY} AS series_key, round(sum(value), 2) AS sum, round(avg(value), 6) AS avg, min(value) AS min,
+SELECT {KEY} AS series_key, round(sum(value), 2) AS sum, round(avg(value), 9) AS avg, min(value) AS min,
        max(value) AS max, count(value) AS count
 FROM events GROUP BY event_type, user_id""")
 def named_aggregate_stats(spark, sf_dir):
     stats = series_stats(event_points(spark, sf_dir), ["sum", "avg", "min", "max", "count"])
-    return stats.withColumn("sum", F.round("sum", 2)).withColumn("avg", F.round("avg", 6))
+    return stats.withColumn("sum", F.round("sum", 2)).withColumn("avg", F.round("avg", 9))
 
 
 @query(f"""
@@ -211,14 +211,14 @@ def threshold_series(spark, sf_dir):
 
 @query("""
 SELECT event_type AS name, CAST(epoch_us(date_trunc('hour', ts)) // 1000000 AS BIGINT) AS bucket,
-       round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(sum(value), 2) AS sum,
+       round(avg(value), 9) AS avg, min(value) AS min, max(value) AS max, round(sum(value), 2) AS sum,
        count(value) AS count, arg_max(value, ts) AS latest
 FROM events GROUP BY 1, 2""")
 def downsample_1h(spark, sf_dir):
     stats = named_aggregates(["avg", "min", "max", "sum", "count"]) + [latest().alias("latest")]
     rows = downsample(event_points(spark, sf_dir), 3600, stats, ("name",))
     return rows.select(
-        "name", F.unix_seconds("bucket").alias("bucket"), F.round("avg", 6).alias("avg"), "min", "max",
+        "name", F.unix_seconds("bucket").alias("bucket"), F.round("avg", 9).alias("avg"), "min", "max",
         F.round("sum", 2).alias("sum"), "count", "latest",
     )
 
