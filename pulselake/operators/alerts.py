@@ -32,6 +32,10 @@ REPORTED = 100
 # A rule table up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_RULES = 10_000
 
+# The details texts of alerts.
+METRIC_DETAILS = "Metric value %.2f exceeds threshold %.2f"
+FOUND_DETAILS = {"logs": "Found %d logs matching the query", "traces": "Found %d traces matching the query"}
+
 # Fixed value: the body of an alert without a template of its own.
 DEFAULT_TEMPLATE = "Alert: {alertName} triggered at {timestamp}. Details: {details}"
 
@@ -212,11 +216,11 @@ def trace_states(span_points: DataFrame, rules: list[AlertRule], start, end) ->
 
 
 def metric_details(value: Column, threshold: Column) -> Column:
-    return F.format_string("Metric value %.2f exceeds threshold %.2f", value, threshold)
+    return F.format_string(METRIC_DETAILS, value, threshold)
 
 
 def found_details(n: Column, what: str) -> Column:
-    return F.format_string(f"Found %d {what} matching the query", F.least(n, F.lit(REPORTED)))
+    return F.format_string(FOUND_DETAILS[what], F.least(n, F.lit(REPORTED)))
 
 
 def new_alerts(states: DataFrame) -> DataFrame:

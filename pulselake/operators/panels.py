@@ -14,7 +14,7 @@ from pulselake.functions.times import div, duration_seconds, instant
 from pulselake.operators.alerts import BROADCAST_RULES
 from pulselake.sources.tables import PROMOTED
 
-# A panel shows this many refresh intervals.
+# A panel shows this many refresh intervals; one that cannot be read counts as 30 seconds.
 INTERVALS = 10
 DEFAULT_REFRESH = 30.0
 OVERVIEW = "overview"

@@ -13,6 +13,7 @@ from pulselake.operators.series import downsample, matrix, with_series_key
 from pulselake.operators.traces import newest_traces, spans, traces
 from pulselake.sources.tables import where_labels
 
+# Rows a query returns where no limit is given.
 METRIC_LIMIT = 1000
 LOG_LIMIT = 100
 TRACE_LIMIT = 100

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -17,14 +18,16 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="pulselake-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach, for written tables and stream checkpoints.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is unset, as in
     tests on one machine, is a temporary folder used.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="pulselake-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+    base = spark.conf.get(CHECKPOINT_DIR, None) or _own_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

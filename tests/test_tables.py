@@ -88,3 +88,12 @@ def test_json_sink(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get(CHECKPOINT_DIR))
     assert shared_folder(spark, "x") != shared_folder(spark, "x")
+
+
+def test_shared_folder_where_none_is_set():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    first, second = shared_folder(Session, "x"), shared_folder(Session, "x")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
