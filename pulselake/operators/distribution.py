@@ -33,8 +33,11 @@ def percentile(
             F.when((F.col("_n") <= accuracy) | F.lit(q + margin >= 1), F.col("_max")).otherwise(F.col("_b")[1]).alias("_high"),
         )
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_key_{i}")) for i, c in enumerate(by)]
-    placed = rows.join(bounds, same) if by else rows.join(bounds, F.lit(True))
+    if by:
+        placed = rows.join(bounds, [F.col(c).eqNullSafe(F.col(f"_key_{i}")) for i, c in enumerate(by)])
+    else:
+        only = bounds.select(F.struct("*").alias("bounds")).scalar()
+        placed = rows.select(value, only.alias("_only")).select(value, "_only.*")
     counted = (
         placed.where(v <= F.col("_high"))
         .groupBy(*by, "_n", F.when(v >= F.col("_low"), v).alias("_v"))

@@ -10,7 +10,7 @@ from pulselake.functions.times import duration_seconds, in_range, query_range
 from pulselake.operators.logs import result_rows, search
 from pulselake.operators.panels import Panel, log_table_rows, panel_range, trace_table_rows
 from pulselake.operators.series import downsample, matrix, with_series_key
-from pulselake.operators.traces import newest_traces, spans, traces
+from pulselake.operators.traces import nested_spans, newest_traces, spans, spans_of, traces
 from pulselake.sources.tables import where_labels
 
 # Rows a query returns where no limit is given.
@@ -110,6 +110,21 @@ def trace_query(
     return newest_traces(traces(spans(rows)), limit)
 
 
+def trace_details(
+    points: DataFrame,
+    text: str = "",
+    start=None,
+    end=None,
+    limit: int | None = TRACE_LIMIT,
+    whole_trace: bool = False,
+    now=None,
+) -> DataFrame:
+    """As ``trace_query`` with the spans of each trace as arrays, a trace with very many in several rows."""
+    rows = matching_span_points(in_range(points, *query_range(start, end, now)), text, whole_trace)
+    newest = newest_traces(traces(spans(rows)), limit)
+    return newest.join(nested_spans(spans_of(rows, newest), newest), "trace_id")
+
+
 def panel_rows(tables: dict[str, DataFrame], panel: Panel, now) -> DataFrame:
     """The rows a panel shows: points for a metric panel, (ts, text) rows for logs and traces."""
     start, end = panel_range(panel, now)

@@ -3,7 +3,7 @@ from helpers import BASE_NANOS, SECOND, exchanges, iso, plan
 from pyspark.sql import functions as F
 
 from pulselake.operators.traces import nested_events, nested_spans, newest_traces, span_events, spans, traces
-from pulselake.plans.queries import matching_span_points, trace_query
+from pulselake.plans.queries import matching_span_points, trace_details, trace_query
 
 SCHEMA = (
     "time_unix_nano bigint, trace_id string, span_id string, parent_span_id string, service string, span_name string, "
@@ -96,6 +96,13 @@ def test_search(sample):
     assert trace_query(sample, "", iso(-1), iso(1), limit=1).count() == 1
 
 
+def test_trace_details(sample):
+    (row,) = trace_details(sample, "GET", iso(-1), iso(1), limit=1).collect()
+    assert (row.trace_id, row.part, [s.span_id for s in row.spans]) == ("t1", 0, ["a"])
+    (row,) = trace_details(sample, "GET", iso(-1), iso(1), limit=1, whole_trace=True).collect()
+    assert (row.span_count, [s.span_id for s in row.spans], row.status) == (2, ["a", "b"], "ERROR")
+
+
 def test_raw_points_are_shuffled_once_and_by_span(sample):
     text = plan(traces(spans(sample)))
     assert exchanges(traces(spans(sample))) == 2
