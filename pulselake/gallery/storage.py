@@ -9,7 +9,7 @@ from pulselake.gallery.registry import query
 from pulselake.gallery.tables import event_logs, event_points, gauge_requests, order_span_points
 from pulselake.operators.alerts import AlertRule, rule_from_config
 from pulselake.operators.series import with_series_key
-from pulselake.session import shared_folder
+from pulselake.session import shared_folder, state_partitions
 from pulselake.sinks.tables import append, contract, unexpired, write_json
 from pulselake.sources.tables import read_table, scan
 from pulselake.streaming.alerts import alert_stream, use_state_store
@@ -85,6 +85,14 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def _run(spark, rows, path, checkpoint):
+    """Runs a stateful stream until its input is used up."""
+    writer = rows.writeStream.outputMode("append").format("parquet").option("path", path)
+    with state_partitions(spark):
+        started = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    started.awaitTermination()
+
+
 def _point_stream(spark, sf_dir):
     events = _stream(spark, sf_dir, "events")
     user = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
@@ -139,10 +147,7 @@ def stream_downsample(spark, sf_dir):
     hours = downsample_stream(
         _point_stream(spark, sf_dir), "1 hour", by=("name",), aggregates=named_aggregates(["sum", "count"])
     )
-    (
-        hours.writeStream.outputMode("append").format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    )
+    _run(spark, hours, path, checkpoint)
     rows = spark.read.schema(hours.schema).parquet(path)
     return rows.select("name", F.unix_seconds("bucket").alias("bucket"), F.round("sum", 2).alias("sum"), "count")
 
@@ -180,9 +185,6 @@ def stream_alerts(spark, sf_dir):
     use_state_store(spark)
     path, checkpoint = shared_folder(spark, "stream-alerts"), shared_folder(spark, "stream-alerts-checkpoint")
     events = alert_stream(_point_stream(spark, sf_dir), STREAM_RULES)
-    (
-        events.writeStream.outputMode("append").format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    )
+    _run(spark, events, path, checkpoint)
     rows = spark.read.schema(events.schema).parquet(path)
     return rows.select("rule_name", "severity", (F.unix_seconds("tick") / 60).cast("bigint").alias("tick"), "details")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,21 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """For starting a stateful stream: no more state partitions than cores.
+
+    A stream keeps the number of shuffle partitions it was started with, and opens a state store in each
+    of them for every stateful step and batch; more of them than can run at once only costs time.
+    """
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="pulselake-")
