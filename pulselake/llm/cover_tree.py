@@ -2,7 +2,8 @@
 
 Vectors are dealt into cells around pivots and cells into blocks of a bounded number of rows, so a block is a ball. A block
 holds a cover tree of its vectors and one of the queries among them. A node is a centre, one of its vectors, with the
-radius that covers all below it; children halve the radius, and small nodes are leaves. For a query node with centre q and radius a
+radius that covers all below it; children halve the radius. Nodes of few rows are leaves, as are nodes whose cover would
+have a child for every few rows, as in many dimensions without clusters. For a query node with centre q and radius a
 and a data node with centre p and radius b no score exceeds <q, p> + a|p| + b|q| + ab; the pair is pruned if that is below
 the worst k-th score of the queries below the query node. The others are split on the larger side, and at two leaves
 all scores are one matrix product.
@@ -25,69 +26,78 @@ from pyspark.sql import functions as F
 from pulselake.llm.common import Kept, table, written
 
 BLOCK_ROWS = 8192
-PIVOTS = 64
+CELL_ROWS = 4096
+MAX_PIVOTS = 4096
 LEAF = 48
+ROWS_PER_CHILD = 8
+NOTHING = -(1 << 62)
 SUMMARY_ROWS = 200_000
 
 
 class CoverTree:
-    """Nodes as arrays: centre, radius, and the range of rows below; children of a node follow one another."""
-
-    def __init__(self, points: np.ndarray):
-        self.points = points
-        self.order = np.arange(len(points))
-        centre, radius, begin, end, child, children = [], [], [], [], [], []
-
-        def node(lo: int, hi: int, at: int, reach: float) -> int:
-            centre.append(at)
-            radius.append(reach)
-            begin.append(lo)
-            end.append(hi)
-            child.append(0)
-            children.append(0)
-            return len(centre) - 1
-
-        def distances(rows: np.ndarray, at: int) -> np.ndarray:
-            return np.sqrt(((points[rows] - points[at]) ** 2).sum(axis=1))
-
-        if len(points):
-            mean = points.mean(axis=0)
-            first = int(((points - mean) ** 2).sum(axis=1).argmin())
-            stack = [node(0, len(points), first, float(distances(self.order, first).max()))]
-        else:
-            stack = []
-        while stack:
-            me = stack.pop()
-            lo, hi = begin[me], end[me]
-            if hi - lo <= LEAF or radius[me] == 0:
-                continue
-            rows, parts = self.order[lo:hi].copy(), []
-            scale, at = radius[me] / 2, centre[me]
-            while len(rows):  # the next centre is the farthest point not yet covered; covers have radius ``scale``
-                away = distances(rows, at)
-                inside = away <= scale
-                parts.append((at, rows[inside], float(away[inside].max())))
-                rows, away = rows[~inside], away[~inside]
-                if len(rows):
-                    at = int(rows[away.argmax()])
-            child[me], children[me] = len(centre), len(parts)
-            for at, own, reach in parts:
-                self.order[lo : lo + len(own)] = own
-                stack.append(node(lo, lo + len(own), at, reach))
-                lo += len(own)
-        self.centre = points[centre] if centre else points
-        self.radius = np.array(radius)
+    """Rows in tree order, and nodes: centre (a row), radius, range of rows below, first child and number of children."""
+
+    def __init__(self, rows: np.ndarray, nodes: np.ndarray):
+        self.rows, self.nodes = rows, nodes
+        at, self.radius = nodes[:, 0].astype(np.int64), nodes[:, 1]
+        self.begin, self.end, self.child, self.children = nodes[:, 2:].T.astype(np.int64)
+        self.centre = rows[at]
         self.norm = np.sqrt((self.centre**2).sum(axis=1))
-        self.begin, self.end = np.array(begin, np.int64), np.array(end, np.int64)
-        self.child, self.children = np.array(child, np.int64), np.array(children, np.int64)
-        self.rows = points[self.order]
+
+
+def grow(points: np.ndarray) -> tuple[CoverTree, np.ndarray]:
+    """The tree of the points, and the order of its rows."""
+    order, nodes = np.arange(len(points)), []
+    square = (points**2).sum(axis=1)
+
+    def distances(rows: np.ndarray, at: int) -> np.ndarray:
+        return np.sqrt(np.maximum(square[rows] + square[at] - 2 * (points[rows] @ points[at]), 0))
+
+    if len(points):
+        first = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
+        nodes.append([first, float(distances(order, first).max()), 0, len(points), 0, 0])
+    stack = [0] if nodes else []
+    while stack:
+        me = stack.pop()
+        at, reach, lo, hi = nodes[me][:4]
+        if hi - lo <= LEAF or reach == 0:
+            continue
+        rows, parts = order[lo:hi].copy(), []
+        while len(rows) and len(parts) <= (hi - lo) // ROWS_PER_CHILD:
+            away = distances(rows, at)
+            inside = away <= reach / 2
+            inside |= rows == at
+            parts.append((at, rows[inside], float(away[inside].max())))
+            rows, away = rows[~inside], away[~inside]
+            if len(rows):  # the next centre is the point farthest from this one
+                at = int(rows[away.argmax()])
+        if len(rows):
+            continue
+        nodes[me][4:] = len(nodes), len(parts)
+        for at, own, reach in parts:
+            order[lo : lo + len(own)] = own
+            stack.append(len(nodes))
+            nodes.append([at, reach, lo, lo + len(own), 0, 0])
+            lo += len(own)
+    place = np.empty(len(points), np.int64)
+    place[order] = np.arange(len(points))
+    table = np.array(nodes, np.float64).reshape(-1, 6)
+    table[:, 0] = place[table[:, 0].astype(np.int64)]
+    return CoverTree(points[order], table), order
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whole-number inner products: in doubles where these are exact."""
+    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= 2**52:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    return (a @ b.T).astype(np.int64)
 
 
 class Best:
     """The k best (score, id) of each query, kept by score and then by smaller id."""
 
     def __init__(self, queries: int, k: int):
-        self.scores = np.full((queries, k), np.iinfo(np.int64).min)
+        self.scores = np.full((queries, k), NOTHING)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -107,9 +117,14 @@ class Best:
         return self.scores[:, -1]
 
 
+def _margin(a, b):
+    """More than rounding can take off a bound."""
+    return 1e-3 + 1e-9 * a * b
+
+
 def _bound(q: CoverTree, a: np.ndarray, p: CoverTree, b: np.ndarray) -> np.ndarray:
     centres = np.einsum("ij,ij->i", q.centre[a], p.centre[b])
-    return centres + q.radius[a] * p.norm[b] + p.radius[b] * q.norm[a] + q.radius[a] * p.radius[b] + 1e-3
+    return (centres + q.radius[a] * p.norm[b] + p.radius[b] * q.norm[a] + q.radius[a] * p.radius[b]) + _margin(q.norm[a] + q.radius[a], p.norm[b] + p.radius[b])
 
 
 def search(q: CoverTree, query_ids: np.ndarray, p: CoverTree, ids: np.ndarray, best: Best) -> int:
@@ -117,7 +132,7 @@ def search(q: CoverTree, query_ids: np.ndarray, p: CoverTree, ids: np.ndarray, b
 
     ``query_ids`` and ``ids`` are in the order of the trees' rows. Returns how many scores were computed.
     """
-    if not len(q.points) or not len(p.points):
+    if not len(q.rows) or not len(p.rows):
         return 0
     computed = 0
     stack = [(0, 0, float("inf"))]
@@ -128,9 +143,9 @@ def search(q: CoverTree, query_ids: np.ndarray, p: CoverTree, ids: np.ndarray, b
             continue
         if not q.children[a] and not p.children[b]:
             other = slice(p.begin[b], p.end[b])
-            scores = (q.rows[own] @ p.rows[other].T).astype(np.int64)  # whole numbers below 2 ** 53: exact
+            scores = products(q.rows[own], p.rows[other])
             computed += scores.size
-            scores[query_ids[own, None] == ids[None, other]] = np.iinfo(np.int64).min
+            scores[query_ids[own, None] == ids[None, other]] = NOTHING
             best.offer(np.arange(own.start, own.stop), scores, ids[other])
             continue
         split_query = q.children[a] and (not p.children[b] or q.radius[a] >= p.radius[b])
@@ -152,9 +167,9 @@ def _pivots(rows: DataFrame, pivots: int) -> np.ndarray:
     return np.unique(np.array([r.vector for r in sample], np.float64), axis=0)
 
 
-def blocks(rows: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def blocks(rows: DataFrame, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, vector, is_query, block): blocks are cells of the nearest pivot, large cells cut by hash of the id."""
-    centres = _pivots(rows, pivots)
+    centres = _pivots(rows, min(MAX_PIVOTS, -(-rows.count() // cell_rows)))
     kept = Kept(rows.sparkSession, centres, lambda x: x)
 
     def nearest(batches):
@@ -181,7 +196,7 @@ def top_k(rows: DataFrame, k: int) -> DataFrame:
 
     def found(best: Best, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         real = best.ids < np.iinfo(np.int64).max
-        real &= best.scores > np.iinfo(np.int64).min
+        real &= best.scores > NOTHING
         return np.repeat(query_ids, real.sum(axis=1)), best.ids[real], best.scores[real]
 
     def own_block(group: pa.Table) -> pa.Table:
@@ -189,56 +204,50 @@ def top_k(rows: DataFrame, k: int) -> DataFrame:
         group = group.combine_chunks()
         ids = group["id"].to_numpy()
         points = _matrix(group["vector"].chunk(0), size)
-        tree = CoverTree(points)
+        tree, order = grow(points)
         asked = group["is_query"].to_numpy(zero_copy_only=False).astype(bool)
-        queries = CoverTree(points[asked])
-        query_ids = ids[asked][queries.order]
+        queries, query_order = grow(points[asked])
+        query_ids, ids = ids[asked][query_order], ids[order]
         best = Best(len(query_ids), k)
-        search(queries, query_ids, tree, ids[tree.order], best)
+        search(queries, query_ids, tree, ids, best)
         q, v, s = found(best, query_ids)
         worst = best.worst()
-        vectors = queries.rows.astype(np.int64)
-        flat = lambda values: pa.ListArray.from_arrays(pa.array([0, values.size], pa.int32()), pa.array(values.ravel(), pa.int64()))
+        whole = lambda values: pa.ListArray.from_arrays(pa.array([0, values.size], pa.int32()), pa.array(values.ravel().astype(np.int64)))
+        nodes = lambda values: pa.ListArray.from_arrays(pa.array([0, values.size], pa.int32()), pa.array(values.ravel()))
         return pa.table({
             "block": pa.array([group["block"][0].as_py()], group["block"].type),
-            "ids": flat(ids), "vectors": flat(points.astype(np.int64)),
-            "query_ids": flat(query_ids), "queries": flat(vectors), "worst": flat(worst),
-            "centre": flat(tree.centre[0].astype(np.int64)), "radius": pa.array([float(tree.radius[0])]),
-            "query_centre": flat(queries.centre[0].astype(np.int64) if len(query_ids) else np.zeros(0, np.int64)),
-            "query_radius": pa.array([float(queries.radius[0]) if len(query_ids) else 0.0]),
-            "found_query": flat(q), "found_id": flat(v), "found_score": flat(s),
+            "nodes": nodes(tree.nodes), "query_nodes": nodes(queries.nodes),
+            "ids": whole(ids), "vectors": whole(tree.rows), "query_ids": whole(query_ids), "queries": whole(queries.rows),
+            "worst": whole(worst), "found_query": whole(q), "found_id": whole(v), "found_score": whole(s),
+            "centre": whole(tree.centre[0]), "query_centre": whole(queries.centre[:1]),
+            "radius": pa.array([float(tree.radius[0])]), "query_radius": pa.array([float(queries.radius[:1].sum())]),
         })
 
-    lists = ["ids", "vectors", "query_ids", "queries", "worst", "centre", "query_centre", "found_query", "found_id", "found_score"]
-    schema = "block struct<cell: bigint, cut: bigint>, radius double, query_radius double, " + ", ".join(f"{c} array<bigint>" for c in lists)
-    order = ["block", "radius", "query_radius", *lists]
-    index = written(
-        blocks(rows).groupBy("block").applyInArrow(lambda g: own_block(g).select(order), schema), "cover-trees"
-    )
+    lists = ["ids", "vectors", "query_ids", "queries", "worst", "found_query", "found_id", "found_score", "centre", "query_centre"]
+    schema = "block struct<cell: bigint, cut: bigint>, nodes array<double>, query_nodes array<double>, "
+    schema += ", ".join(f"{c} array<bigint>" for c in lists) + ", radius double, query_radius double"
+    index = written(blocks(rows).groupBy("block").applyInArrow(own_block, schema), "cover-trees")
     asking = index.filter(F.size("query_ids") > 0).select(
-        F.col("block").alias("home"), "query_ids", "queries", "worst", "query_centre", "query_radius", F.array_min("worst").alias("least")
+        F.col("block").alias("home"), "query_ids", "queries", "query_nodes", "worst", "query_centre", "query_radius", F.array_min("worst").alias("least")
     )
     # Which blocks can hold something better: roots only. Both sides have a row for each block.
     roots = index.select(F.col("block").alias("target"), F.col("centre").alias("p"), F.col("radius").alias("b"))
     targets = _reach(asking.select("home", "query_centre", "query_radius", "least"), roots)
-    pairs = targets.join(asking, "home").join(index.select(F.col("block").alias("target"), "ids", "vectors"), "target")
+    pairs = targets.join(asking, "home").join(index.select(F.col("block").alias("target"), "ids", "vectors", "nodes"), "target")
 
     def other_block(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda c: batch[c][i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                queries = CoverTree(get("queries").reshape(-1, size).astype(np.float64))
-                tree = CoverTree(get("vectors").reshape(-1, size).astype(np.float64))
-                query_ids = get("query_ids")[queries.order]
+                part = lambda rows, nodes: CoverTree(get(rows).reshape(-1, size).astype(np.float64), get(nodes).reshape(-1, 6))  # noqa: B023, E731
+                queries, tree, query_ids, floor = part("queries", "query_nodes"), part("vectors", "nodes"), get("query_ids"), get("worst")
                 best = Best(len(query_ids), k)
-                floor = get("worst")[queries.order]
-                best.scores[:, -1] = floor  # placeholders: only scores that reach the k-th of the own block matter
-                best.scores[:, :-1] = floor[:, None]
-                search(queries, query_ids, tree, get("ids")[tree.order], best)
+                best.scores[:] = floor[:, None]  # placeholders without an id: only what reaches the k-th score of the own block counts
+                search(queries, query_ids, tree, get("ids"), best)
                 q, v, s = found(best, query_ids)
                 yield pa.record_batch([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    there = pairs.select("query_ids", "queries", "worst", "ids", "vectors").mapInArrow(other_block, out)
+    there = pairs.select("query_ids", "queries", "query_nodes", "worst", "ids", "vectors", "nodes").mapInArrow(other_block, out)
     here = index.select(F.explode(F.arrays_zip("found_query", "found_id", "found_score")).alias("f")).select(
         F.col("f.found_query").alias("query_id"), F.col("f.found_id").alias("vec_id"), F.col("f.found_score").alias("score")
     )
@@ -271,7 +280,8 @@ def _reach(asking: DataFrame, roots: DataFrame) -> DataFrame:
                     home = batch["home"][i].as_py()
                     q = np.array(batch["query_centre"][i].as_py(), np.float64)
                     a = batch["query_radius"][i].as_py()
-                    bound = p @ q + a * norm + b * np.sqrt((q**2).sum()) + a * b + 1e-3
+                    bound = p @ q + a * norm + b * np.sqrt((q**2).sum()) + a * b
+                    bound += _margin(np.sqrt((q**2).sum()) + a, norm + b)
                     hit = [names[j] for j in np.flatnonzero(bound >= batch["least"][i].as_py()).tolist()]
                     targets = [{"cell": c, "cut": d} for c, d in hit if (c, d) != (home["cell"], home["cut"])]
                     yield pa.record_batch(
@@ -303,10 +313,10 @@ def op5_top_k(spark, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
