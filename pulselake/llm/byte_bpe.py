@@ -24,7 +24,7 @@ from pulselake.llm.common import code_points, expand, slices
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 SLICE_CHARS = 1_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 # The contractions that the pattern of byte-level BPE takes as words.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 

@@ -17,6 +17,7 @@ import json
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,7 @@ def library_encoder(path: str) -> tuple[Encoder, int]:
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for ids in lists for i in ids), np.int32, int(sizes.sum())), sizes
+        return np.array(list(chain.from_iterable(lists)), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
 
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     return Encoder(special, encode), tokenizer.get_vocab_size(with_added_tokens=True)
