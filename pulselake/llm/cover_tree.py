@@ -28,8 +28,8 @@ from pulselake.llm.common import Kept, table, written
 BLOCK_ROWS = 8192
 CELL_ROWS = 4096
 MAX_PIVOTS = 4096
-LEAF = 48
-ROWS_PER_CHILD = 8
+# Rows of a leaf, and rows that a child must have on average: leaves of queries are small, so that bounds stay narrow.
+DATA_NODES, QUERY_NODES = (48, 8), (4, 1)
 NOTHING = -(1 << 62)
 SUMMARY_ROWS = 200_000
 
@@ -45,7 +45,7 @@ class CoverTree:
         self.norm = np.sqrt((self.centre**2).sum(axis=1))
 
 
-def grow(points: np.ndarray) -> tuple[CoverTree, np.ndarray]:
+def grow(points: np.ndarray, leaf: int = DATA_NODES[0], rows_per_child: int = DATA_NODES[1]) -> tuple[CoverTree, np.ndarray]:
     """The tree of the points, and the order of its rows."""
     order, nodes = np.arange(len(points)), []
     square = (points**2).sum(axis=1)
@@ -60,10 +60,10 @@ def grow(points: np.ndarray) -> tuple[CoverTree, np.ndarray]:
     while stack:
         me = stack.pop()
         at, reach, lo, hi = nodes[me][:4]
-        if hi - lo <= LEAF or reach == 0:
+        if hi - lo <= leaf or reach == 0:
             continue
         rows, parts = order[lo:hi].copy(), []
-        while len(rows) and len(parts) <= (hi - lo) // ROWS_PER_CHILD:
+        while len(rows) and len(parts) <= (hi - lo) // rows_per_child:
             away = distances(rows, at)
             inside = away <= reach / 2
             inside |= rows == at
@@ -206,7 +206,7 @@ def top_k(rows: DataFrame, k: int) -> DataFrame:
         points = _matrix(group["vector"].chunk(0), size)
         tree, order = grow(points)
         asked = group["is_query"].to_numpy(zero_copy_only=False).astype(bool)
-        queries, query_order = grow(points[asked])
+        queries, query_order = grow(points[asked], *QUERY_NODES)
         query_ids, ids = ids[asked][query_order], ids[order]
         best = Best(len(query_ids), k)
         search(queries, query_ids, tree, ids, best)

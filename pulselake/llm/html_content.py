@@ -262,7 +262,7 @@ def labels(page: Page) -> np.ndarray:
     return out
 
 
-def fit(sources: list[str], rounds: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Model:
+def fit(sources: list[str], rounds: int = 300, rate: float = 0.1, decay: float = 5e-5) -> Model:
     """Ascend the likelihood of the labels of all pages, by Adam on exact gradients."""
     pages = [read_page(s) for s in sources]
     trees, truth = forest(pages), np.concatenate([labels(p) for p in pages])
@@ -285,7 +285,7 @@ def fit(sources: list[str], rounds: int = 400, rate: float = 0.05, decay: float
     return Model(*weights)
 
 
-def labelled_pages(count: int = 320, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
     """Pages in many layouts; ``data-content`` marks the main text (1) and what is not main text within it (0)."""
     rng = random.Random(seed)
     letters = "aaaeeeiioouulnrstdmbcghkp"
@@ -357,16 +357,16 @@ def labelled_pages(count: int = 320, seed: int = 11) -> list[str]:
             return f"<pre>{text(1, 2)}</pre>"
         return f'<p>{sentence()} <a href="/{word()}">{sentence(1, 4)}</a> {sentence()}</p>'
 
-    def body() -> str:
-        blocks = [block() for _ in range(rng.choice([1, 2, 3, 5, 8, 14, 25]))]
+    def body(bare: bool) -> str:
+        blocks = [block() for _ in range(rng.choice([1, 1, 1, 2, 3] if bare else [1, 2, 3, 5, 8, 14, 25]))]
         for extra, share in ((ad, 0.25), (side, 0.12), (form, 0.1), (notice, 0.08), (menu, 0)):
             if rng.random() < share:
                 blocks.insert(rng.randint(0, len(blocks)), extra())
         inner = "".join(blocks)
-        title = rng.choice([f"<h1>{sentence(2, 9)}</h1>", f"<h1>{sentence(2, 9)}</h1>", f"<header><h1>{sentence(2, 8)}</h1></header>", ""])
+        title = rng.choice([f"<h1>{sentence(2, 9)}</h1>", f"<h1>{sentence(2, 9)}</h1>", f"<header><h1>{sentence(2, 8)}</h1></header>", *[""] * (6 if bare else 1)])
         if "<header>" in title:
             title = title.replace("<header>", '<header data-content="1">')
-        if rng.random() < 0.12:
+        if rng.random() < 0.2:
             inner += comments()
         kind = rng.random()
         if kind < 0.55:
@@ -384,10 +384,13 @@ def labelled_pages(count: int = 320, seed: int = 11) -> list[str]:
         before = [head() if rng.random() < 0.4 else "", menu() if rng.random() < 0.8 else ""]
         before += [f() for f, share in ((ad, 0.5), (notice, 0.3), (side, 0.15), (form, 0.15)) if rng.random() < share]
         after = [f() for f, share in ((side, 0.3), (comments, 0.3), (ad, 0.25), (form, 0.15), (notice, 0.1)) if rng.random() < share]
-        main, wrap = body(), rng.random()
+        bare = rng.random() < 0.35
+        if bare:
+            before, after = [rng.choice(["", "", ad(), menu()])], [rng.choice(["", "", comments(), side()])]
+        main, wrap = body(bare), rng.random()
         middle = "".join(before) + main + "".join(after)
         middle = f"<div {name('wrapper', 'page', 'container')}>{middle}</div>" if wrap < 0.3 else middle
-        pages.append(f"<html><body>{middle}{foot() if rng.random() < 0.85 else ''}</body></html>")
+        pages.append(f"<html><body>{middle}{foot() if rng.random() < (0.3 if bare else 0.9) else ''}</body></html>")
     return pages
 
 
