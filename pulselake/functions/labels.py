@@ -101,10 +101,15 @@ def series_labels(key: Column) -> Column:
     return decode_labels(key)
 
 
-def selector(text: str) -> dict[str, str]:
-    """``"a=1, b=2"`` as a dict; parts without '=' are ignored."""
+def selector_pairs(text: str) -> list[tuple[str, str]]:
+    """``"a=1, b=2"`` as pairs, repeated keys included; parts without '=' are ignored."""
     pairs = (part.split("=", 1) for part in text.split(",") if "=" in part)
-    return {key.strip(): value.strip() for key, value in pairs}
+    return [(key.strip(), value.strip()) for key, value in pairs]
+
+
+def selector(text: str) -> dict[str, str]:
+    """``"a=1, b=2"`` as a dict; of a repeated key the last value."""
+    return dict(selector_pairs(text))
 
 
 def label_match(
@@ -116,10 +121,10 @@ def label_match(
 
     ``promoted`` names the plain columns that carry a label; only those reach the parquet reader.
     """
-    wanted = selector(wanted) if isinstance(wanted, str) else wanted
+    pairs = selector_pairs(wanted) if isinstance(wanted, str) else list(wanted.items())
     promoted = promoted or {}
     tests = [
-        (F.col(promoted[k]) if k in promoted else F.col(labels)[k]) == F.lit(v) for k, v in wanted.items()
+        (F.col(promoted[k]) if k in promoted else F.col(labels)[k]) == F.lit(v) for k, v in pairs
     ]
     return reduce(and_, tests, F.lit(True))
 
@@ -143,7 +148,7 @@ def label_match_text(text: Column, labels: Column) -> Column:
 def label_rlike(name: str, pattern: str, labels: str = "labels", promoted: dict[str, str] | None = None) -> Column:
     """A label matches the whole pattern (anchored at both ends)."""
     col = F.col(promoted[name]) if promoted and name in promoted else F.col(labels)[name]
-    return col.rlike(f"^(?:{pattern})$")
+    return col.rlike(f"^(?:{pattern})\\z")
 
 
 def label_contains(name: str, text: str, labels: str = "labels", promoted: dict[str, str] | None = None) -> Column:

@@ -256,6 +256,7 @@ def to_events(rows: DataFrame, rules: list[AlertRule], template: str = DEFAULT_T
     )
 
 
+EVENTS = "rule_name string, severity string, tick timestamp, details string, body string"
 STATES = {"metrics": metric_states, "logs": log_states, "traces": trace_states}
 
 
@@ -264,7 +265,7 @@ def evaluate(
 ) -> DataFrame:
     """Alert events of all rules for the whole minutes in ``[start, end]``.
 
-    ``tables`` holds a frame per source in use. Rules start out inactive.
+    ``tables`` holds a frame per source in use. Rules start out inactive; without rules there are no events.
     """
     start, end = instant(start), instant(end)
     parts = []
@@ -272,4 +273,6 @@ def evaluate(
         mine = [r for r in rules if r.data_source == source]
         if mine:
             parts.append(to_events(new_alerts(states(tables[source], mine, start, end)), mine, template))
+    if not parts:
+        return SparkSession.active().createDataFrame([], EVENTS)
     return reduce(DataFrame.unionByName, parts)

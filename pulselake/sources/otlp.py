@@ -26,16 +26,23 @@ def parse(bodies: DataFrame, signal: str, column: str = "value") -> DataFrame:
     """Adds ``request`` (NULL where the body cannot be decoded) and ``malformed``.
 
     ``signal`` is metrics, logs or traces. A body counts as malformed when it is no JSON, has a value of
-    the wrong kind, or is no JSON object.
+    the wrong kind, is no JSON object, or when anything but white space follows the object.
     """
-    schema = T.StructType(REQUESTS[signal].fields + [T.StructField(CORRUPT, T.StringType(), True)])
+    whole = T.StructType(
+        [T.StructField("bodies", T.ArrayType(REQUESTS[signal])), T.StructField(CORRUPT, T.StringType(), True)]
+    )
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     body = F.col(column).cast("string")
     # Exploding a one-element array keeps the parse in one place: as a plain projection, from_json would be
     # copied into every filter and field access above it and run once for each.
-    parsed = bodies.withColumn("request", F.explode(F.array(F.from_json(body, schema, options))))
-    bad = F.col("request").isNull() | F.col(f"request.{CORRUPT}").isNotNull() | ~F.ltrim(body).startswith("{")
-    return parsed.withColumn("malformed", F.coalesce(bad, F.lit(True)))
+    # The parser stops after the first value of a text; as the only element of an array, the body must end there.
+    listed = F.concat(F.lit('{"bodies":['), body, F.lit("]}"))
+    parsed = bodies.withColumn("request", F.explode(F.array(F.from_json(listed, whole, options))))
+    one = (F.size("request.bodies") == 1) & F.get("request.bodies", F.lit(0)).isNotNull()
+    good = one & F.col(f"request.{CORRUPT}").isNull() & body.rlike(r"^[ \t\r\n]*\{")
+    return parsed.withColumn("malformed", ~F.coalesce(good, F.lit(False))).withColumn(
+        "request", F.get("request.bodies", F.lit(0))
+    )
 
 
 def well_formed(parsed: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pulselake.sources.otlp import parse, quarantine, well_formed
 
 FLATTEN = {"metrics": flatten_metrics, "logs": flatten_logs, "traces": flatten_spans}
 BATCH = "ingest_batch"
+STREAM_ID = "sql.streaming.queryId"
 FLUSH = "30 seconds"
 
 
@@ -22,25 +23,30 @@ def flatten(bodies: DataFrame, signal: str, column: str = "value", **options) ->
     return FLATTEN[signal](well_formed(parse(bodies, signal, column)), **options)
 
 
+def stream_id(bodies: DataFrame) -> str:
+    """Id of the stream a micro-batch comes from; it is kept with the checkpoint, so a restart has the same."""
+    return bodies.sparkSession.sparkContext.getLocalProperty(STREAM_ID) or "batch"
+
+
 def write_batch(bodies: DataFrame, batch_id: int, signal: str, path: str, rejected: str, column: str = "value") -> None:
     """One micro-batch: rows to ``path``, undecodable bodies to ``rejected``.
 
-    Each lands in partitions named after the batch and replaces what is there, so a batch repeated after a
-    failure leaves its rows once. A row whose time cannot be read is rejected too. Each body is parsed once
+    Each lands in partitions named after the stream and the batch and replaces what is there, so a batch repeated
+    after a failure leaves its rows once, and another stream, or one begun anew, only adds. A row whose time cannot be read is rejected too. Each body is parsed once
     for both tables.
     """
     parsed = parse(bodies, signal, column).persist()
     try:
-        _store(parsed, batch_id, signal, path, rejected, column)
+        _store(parsed, f"{stream_id(bodies)}-{batch_id}", signal, path, rejected, column)
     finally:
         parsed.unpersist()
 
 
-def _store(parsed: DataFrame, batch_id: int, signal: str, path: str, rejected: str, column: str) -> None:
+def _store(parsed: DataFrame, batch: str, signal: str, path: str, rejected: str, column: str) -> None:
     rows = FLATTEN[signal](well_formed(parsed))
     (
         writer(
-            contract(rows.where(F.col("time_unix_nano").isNotNull()), signal).withColumn(BATCH, F.lit(batch_id)),
+            contract(rows.where(F.col("time_unix_nano").isNotNull()), signal).withColumn(BATCH, F.lit(batch)),
             signal,
             ("dt", BATCH),
         )
@@ -51,7 +57,7 @@ def _store(parsed: DataFrame, batch_id: int, signal: str, path: str, rejected: s
     untimed = rows.where(F.col("time_unix_nano").isNull())
     bad = quarantine(parsed, column).unionByName(untimed.select(F.to_json(F.struct("*")).alias("body")))
     (
-        bad.withColumn(BATCH, F.lit(batch_id))
+        bad.withColumn(BATCH, F.lit(batch))
         .write.partitionBy(BATCH)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -6,7 +6,7 @@ from helpers import BASE, BASE_NANOS, SECOND, iso, points
 from pyspark.sql import functions as F
 
 from pulselake.operators.alerts import AlertRule
-from pulselake.sources.otlp import stream_requests
+from pulselake.sources.otlp import parse, stream_requests
 from pulselake.sources.tables import read_table
 from pulselake.streaming.alerts import alert_stream, by_source_and_lookback, states, use_state_store
 from pulselake.streaming.downsample import downsample_stream
@@ -57,6 +57,27 @@ def test_a_repeated_batch_leaves_its_rows_once(spark, tmp_path):
     assert spark.read.parquet(rejected).count() == 2
 
 
+def test_streams_of_one_table_only_add(spark, tmp_path):
+    path = str(tmp_path / "points")
+    for i in range(3):
+        inbox = tmp_path / f"in{i}"
+        inbox.mkdir()
+        (inbox / "a.txt").write_text("\n".join([body(BASE_NANOS + i * SECOND), f"broken {i}"]))
+        start_ingest(stream_requests(spark, str(inbox)), "metrics", path, str(tmp_path / f"cp{i}"), available_now=True).awaitTermination()
+    assert read_table(spark, path, "metrics").select("ts").distinct().count() == 3
+    assert spark.read.parquet(f"{path}_rejected").count() == 3
+
+
+def test_a_body_is_one_object_and_nothing_else(spark, tmp_path):
+    good, path = body(BASE_NANOS), str(tmp_path / "points")
+    bad = [f"{good} junk", good + good, f"{good},{good}", f"[{good}]", "", "null", "7", f"{good}]"]
+    rows = [(b,) for b in [f"\n\t {good}\r\n", "{}", *bad, None]]
+    parsed = parse(spark.createDataFrame(rows, "value string"), "metrics")
+    assert [r.value for r in parsed.where("malformed").select("value").collect()] == [*bad, None]
+    write_batch(spark.createDataFrame(rows, "value string"), 0, "metrics", path, str(tmp_path / "rejected"))
+    assert read_table(spark, path, "metrics").count() == 1
+
+
 def test_ingest_of_logs_and_traces(spark, tmp_path):
     logs = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": BASE_NANOS, "body": {"stringValue": "x"}}]}]}]}
     span = {"traceId": "t", "spanId": "s", "startTimeUnixNano": BASE_NANOS, "endTimeUnixNano": BASE_NANOS + 1}
