@@ -41,9 +41,3 @@ def latest(value: str = "value", at: str = "time_unix_nano") -> Column:
 def percentile_estimate(percent: float, value: str = "value", accuracy: int = 10_000) -> Column:
     """Percentile from a bounded sketch: one pass, rank error at most 1/accuracy."""
     return F.percentile_approx(F.col(value), F.lit(percent / 100.0), F.lit(accuracy))
-
-
-def match_count(cap: int | None = None) -> Column:
-    """Number of rows; ``cap`` bounds the reported figure only."""
-    n = F.count(F.lit(1))
-    return F.least(n, F.lit(cap)) if cap else n

@@ -9,7 +9,7 @@ from pulselake.functions.values import number_text, severity_level, span_kind_te
 from pulselake.gallery.registry import query
 from pulselake.gallery.tables import document_logs, event_logs, labels, read
 from pulselake.operators.logs import at_level, error_rates, level_counts, result_rows, search, unpack_message
-from pulselake.plans.queries import log_query, result_json
+from pulselake.plans.queries import LOG_LIMIT, log_query, result_json
 from pulselake.sources.tables import scan
 
 START, END = "2024-01-05T00:00:00Z", "2024-01-12T00:00:00Z"
@@ -59,7 +59,7 @@ FROM documents WHERE contains(lower(text), 'en') OR contains(lower(lang), 'en')
 ORDER BY doc_id LIMIT 100""")
 def log_text_query(spark, sf_dir):
     """A log query: text, range, default limit."""
-    return log_query(document_logs(spark, sf_dir), "EN", **ALL).select("time_unix_nano", "level", "message")
+    return log_query(document_logs(spark, sf_dir), "EN", limit=LOG_LIMIT, **ALL).select("time_unix_nano", "level", "message")
 
 
 @query("""

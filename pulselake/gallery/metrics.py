@@ -18,7 +18,7 @@ from pulselake.operators.series import (
     above_threshold, downsample, first_per_series, label_stats, latest_values, matrix, series, series_stats, summary,
     with_series_key,
 )
-from pulselake.plans.queries import metric_points, metric_query
+from pulselake.plans.queries import METRIC_LIMIT, metric_points, metric_query
 from pulselake.sources.tables import PROMOTED, scan, where_labels
 
 START, END = "2024-01-05T00:00:00Z", "2024-01-12T00:00:00Z"
@@ -282,9 +282,9 @@ def counting_scan(spark, sf_dir):
 
 @query(f"SELECT {NANOS} AS time_unix_nano, event_type AS name, value FROM events ORDER BY ts, value LIMIT 1000")
 def earliest_points(spark, sf_dir):
-    """The default limit of a metric query: the earliest thousand points."""
+    """The usual limit of a metric query: the earliest thousand points."""
     points = event_points(spark, sf_dir)
-    return metric_points(points, start="2024-01-01T00:00:00Z", end="2024-02-01T00:00:00Z").select(
+    return metric_points(points, start="2024-01-01T00:00:00Z", end="2024-02-01T00:00:00Z", limit=METRIC_LIMIT).select(
         "time_unix_nano", "name", "value"
     )
 
@@ -310,7 +310,7 @@ WITH s AS (
 SELECT series_key, CAST(count(*) AS BIGINT) AS n, round(sum(v), 4) AS total FROM l GROUP BY 1""")
 def stepped_metric_query(spark, sf_dir):
     """A metric query with a step."""
-    rows = metric_query(event_points(spark, sf_dir), "__name__=view", START, END, step="1h")
+    rows = metric_query(event_points(spark, sf_dir), "__name__=view", START, END, "1h", METRIC_LIMIT, chunk_seconds=None)
     total = F.aggregate("values", F.lit(0.0), lambda s, p: s + p["value"])
     return rows.select(
         "series_key", F.size("values").cast("bigint").alias("n"), F.round(total, 4).alias("total")

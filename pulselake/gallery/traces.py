@@ -11,7 +11,7 @@ from pulselake.gallery.tables import order_span_points, span_requests
 from pulselake.operators.traces import (
     nested_events, nested_spans, newest_traces, span_events, spans, spans_of, traces,
 )
-from pulselake.plans.queries import matching_span_points, trace_query
+from pulselake.plans.queries import TRACE_LIMIT, matching_span_points, trace_query
 from pulselake.sources.tables import scan, where_labels
 from pulselake.streaming.ingest import flatten
 
@@ -136,8 +136,8 @@ WITH {POINTS.replace('FROM lineitem', "FROM lineitem WHERE contains(CAST(l_order
 {SPANS}, {TRACES}
 SELECT {TRACE_COLUMNS} FROM t ORDER BY start_unix_nano DESC, trace_id LIMIT 100""")
 def trace_text_query(spark, sf_dir):
-    """A trace query: text, range, default limit."""
-    return trace_query(order_span_points(spark, sf_dir), "R/F", "1990-01-01T00:00:00Z", "2010-01-01T00:00:00Z")
+    """A trace query: text, range, usual limit."""
+    return trace_query(order_span_points(spark, sf_dir), "R/F", "1990-01-01T00:00:00Z", "2010-01-01T00:00:00Z", TRACE_LIMIT)
 
 
 @query("""

@@ -27,10 +27,6 @@ from pulselake.sources.tables import PROMOTED
 SOURCES = ("metrics", "logs", "traces")
 TICK_SECONDS = 60
 TICK_NANOS = TICK_SECONDS * NANOS
-# Log and trace rules report at most this many matches in their text.
-REPORTED = 100
-# A rule table up to this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_RULES = 10_000
 
 # The details texts of alerts.
 METRIC_DETAILS = "Metric value %.2f exceeds threshold %.2f"
@@ -109,12 +105,10 @@ def valid_rules(rules: DataFrame) -> DataFrame:
 def join_rules(points: DataFrame, rules: DataFrame) -> DataFrame:
     """Points with each metric rule of a rule table they match: equal name, then the rest of the selector.
 
-    The rule table is broadcast only after its size has been checked.
+    Spark broadcasts the rule table if its measured size allows, and shuffles it otherwise.
     """
     rules = valid_rules(rules).where("data_source = 'metrics'").withColumn("_name", F.col("selector")["__name__"])
     rules = rules.where(F.col("_name").isNotNull())
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        rules = F.broadcast(rules)
     return (
         points.join(rules, points["name"] == rules["_name"])
         .where(label_match_map(F.col("selector"), F.col("labels")))
@@ -220,7 +214,7 @@ def metric_details(value: Column, threshold: Column) -> Column:
 
 
 def found_details(n: Column, what: str) -> Column:
-    return F.format_string(FOUND_DETAILS[what], F.least(n, F.lit(REPORTED)))
+    return F.format_string(FOUND_DETAILS[what], n)
 
 
 def new_alerts(states: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulselake.functions.times import div, duration_seconds, instant
-from pulselake.operators.alerts import BROADCAST_RULES
 from pulselake.sources.tables import PROMOTED
 
 # A panel shows this many refresh intervals; one that cannot be read counts as 30 seconds.
@@ -109,8 +108,6 @@ def first_of_selectors(points: DataFrame, wanted: list[dict[str, str]], n: int,
         columns = {"query": pa.array(query, pa.int32()), **{f"_label_{j}": list(v) for j, v in enumerate(values)}}
         # An Arrow table becomes a local relation of the plan; no Python worker is started for it.
         asked = points.sparkSession.createDataFrame(pa.table(columns))
-        if len(rows) <= BROADCAST_RULES:
-            asked = F.broadcast(asked)
         columns = [F.col(promoted[k]) if k in promoted else F.col("labels")[k] for k in names]
         parts.append(points.join(asked, [c == F.col(f"_label_{j}") for j, c in enumerate(columns)]).drop(
             *[f"_label_{j}" for j in range(len(names))]

@@ -80,7 +80,10 @@ def first_per_series(points: DataFrame, n: int, tie: list[str] | None = None) ->
     )
 
 
-def matrix(points: DataFrame, chunk_seconds: int | None = 600, max_values: int = 10_000, by: str = "series_key") -> DataFrame:
+CHUNK_SECONDS = 600
+
+
+def matrix(points: DataFrame, chunk_seconds: int | None = CHUNK_SECONDS, max_values: int = 10_000, by: str = "series_key") -> DataFrame:
     """Series as arrays of ``(unix seconds, value)``, each array one stretch of time.
 
     A series is cut at whole ``chunk_seconds``, and a stretch with more than ``max_values`` points goes on

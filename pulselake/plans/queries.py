@@ -9,11 +9,11 @@ from pulselake.functions.text import trace_text
 from pulselake.functions.times import duration_seconds, in_range, query_range
 from pulselake.operators.logs import result_rows, search
 from pulselake.operators.panels import Panel, log_table_rows, panel_range, trace_table_rows
-from pulselake.operators.series import downsample, matrix, with_series_key
+from pulselake.operators.series import CHUNK_SECONDS, downsample, matrix, with_series_key
 from pulselake.operators.traces import nested_spans, newest_traces, spans, spans_of, traces
 from pulselake.sources.tables import where_labels
 
-# Rows a query returns where no limit is given.
+# The usual limits of the three queries. No query applies them unless it is asked to.
 METRIC_LIMIT = 1000
 LOG_LIMIT = 100
 TRACE_LIMIT = 100
@@ -30,7 +30,7 @@ def metric_points(
     labels: dict[str, str] | str = "",
     start=None,
     end=None,
-    limit: int | None = METRIC_LIMIT,
+    limit: int | None = None,
     now=None,
     where: Column | None = None,
 ) -> DataFrame:
@@ -50,23 +50,23 @@ def metric_query(
     start=None,
     end=None,
     step: str | None = None,
-    limit: int | None = METRIC_LIMIT,
+    limit: int | None = None,
     now=None,
+    chunk_seconds: int | None = CHUNK_SECONDS,
 ) -> DataFrame:
     """Matrix of a metric query. With ``step`` each series is averaged per step before the limit counts.
 
-    Within a limit each series is one array; without one it comes in stretches of time.
+    A series comes in stretches of ``chunk_seconds``, or as one array if that is None: for results of known size.
     """
-    chunk = {"chunk_seconds": None} if limit else {}
     if not step:
-        return matrix(metric_points(points, labels, start, end, limit, now), **chunk)
+        return matrix(metric_points(points, labels, start, end, limit, now), chunk_seconds=chunk_seconds)
     step_seconds = int(duration_seconds(step))
     if step_seconds < 1:
         raise ValueError(f"step below one second: {step!r}")
     stepped = downsample(
         metric_points(points, labels, start, end, None, now), step_seconds, [F.avg("value").alias("value")]
     ).select("series_key", (F.unix_micros("bucket") * 1000).alias("time_unix_nano"), "value")
-    return matrix(earliest(stepped, limit, ["series_key", "value"]) if limit else stepped, **chunk)
+    return matrix(earliest(stepped, limit, ["series_key", "value"]) if limit else stepped, chunk_seconds=chunk_seconds)
 
 
 def log_query(
@@ -74,7 +74,7 @@ def log_query(
     text: str = "",
     start=None,
     end=None,
-    limit: int | None = LOG_LIMIT,
+    limit: int | None = None,
     level: str | None = None,
     now=None,
     where: Column | None = None,
@@ -101,7 +101,7 @@ def trace_query(
     text: str = "",
     start=None,
     end=None,
-    limit: int | None = TRACE_LIMIT,
+    limit: int | None = None,
     whole_trace: bool = False,
     now=None,
 ) -> DataFrame:
@@ -115,7 +115,7 @@ def trace_details(
     text: str = "",
     start=None,
     end=None,
-    limit: int | None = TRACE_LIMIT,
+    limit: int | None = None,
     whole_trace: bool = False,
     now=None,
 ) -> DataFrame:
@@ -130,7 +130,7 @@ def panel_rows(tables: dict[str, DataFrame], panel: Panel, now) -> DataFrame:
     start, end = panel_range(panel, now)
     source = panel.data_source
     if source == "metrics":
-        return metric_points(tables[source], panel.query, start, end)
+        return metric_points(tables[source], panel.query, start, end, panel.max_rows)
     if source == "logs":
         return log_table_rows(log_query(tables[source], panel.query, start, end, panel.max_rows))
     if source == "traces":

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulselake.functions.labels import label_match
 from pulselake.functions.times import in_range, instant, store_range
@@ -26,29 +24,18 @@ PROMOTED = {
 }
 
 
-# A longer range is read through the table folder itself.
-LISTED_DAYS = 400
-
-
 def read_table(spark: SparkSession, path: str, signal: str, start=None, end=None) -> DataFrame:
     """A telemetry table written by ``pulselake.sinks.tables`` with its fixed schema (no inference).
 
-    With a range, only the folders of its days are listed, not those of the whole table; the rows are
-    those of these days, to be cut to the range by ``scan``.
+    With a range the rows are those of its days, to be cut to the range by ``scan``: the filter on the day prunes
+    the folders that are read, however long the range.
     """
-    reader = spark.read.schema(TABLES[signal])
-    if start is None or end is None:
-        return reader.parquet(path)
-    first, last = instant(start).date(), instant(end).date()
-    days = [(first + timedelta(days=i)).isoformat() for i in range((last - first).days + 1)]
-    if len(days) > LISTED_DAYS:
-        return reader.parquet(path)
-    try:
-        return reader.option("basePath", path).parquet(f"{path.rstrip('/')}/dt={{{','.join(days)}}}")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return reader.parquet(path).limit(0)
+    rows = spark.read.schema(TABLES[signal]).parquet(path)
+    if start is not None:
+        rows = rows.where(F.col("dt") >= F.lit(instant(start).date()))
+    if end is not None:
+        rows = rows.where(F.col("dt") <= F.lit(instant(end).date()))
+    return rows
 
 
 def scan(df: DataFrame, start=None, end=None, now=None) -> DataFrame:

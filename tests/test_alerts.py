@@ -85,7 +85,7 @@ def test_log_and_trace_rules(spark):
     rows = {r.rule_name: r for r in evaluate(tables, rules, iso(0), iso(120)).collect()}
     assert set(rows) == {"L", "T", "Many"}
     assert rows["L"].details == "Found 80 logs matching the query"
-    assert rows["Many"].details == "Found 100 logs matching the query"
+    assert rows["Many"].details == "Found 160 logs matching the query"
     assert rows["T"].details == "Found 3 traces matching the query"
     assert rows["T"].body == "Alert: T triggered at 2024-01-01T00:01:00Z. Details: Found 3 traces matching the query"
 

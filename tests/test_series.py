@@ -71,8 +71,10 @@ def test_matrix_is_cut_into_stretches_and_parts(spark):
 
 def test_metric_query_limits_points(spark):
     df = points(spark, [(i, i, {"s": str(i % 3)}) for i in range(2000)])
-    rows = metric_query(df, "", iso(0), iso(5000)).collect()
+    rows = metric_query(df, "", iso(0), iso(5000), limit=1000, chunk_seconds=None).collect()
     assert sorted(len(r["values"]) for r in rows) == [333, 333, 334]
+    rows = metric_query(df, "", iso(0), iso(5000)).collect()
+    assert sum(len(r["values"]) for r in rows) == 2000
     rows = metric_query(df, "s=1", iso(0), iso(5000), step="100s", limit=0).collect()
     values = sorted(v for r in rows for v in r["values"])
     assert len(values) == 20 and values[0].value == sum(i for i in range(100) if i % 3 == 1) / 33

@@ -24,6 +24,7 @@ def test_append_and_read(spark, tmp_path):
     assert back.count() == 16 and len(glob.glob(f"{path}/dt=*")) == 3
     assert scan(read_table(spark, path, "metrics", iso(0), iso(100)), iso(0), iso(100)).count() == 2
     assert read_table(spark, path, "metrics", "2020-01-01T00:00:00Z", "2020-01-02T00:00:00Z").count() == 0
+    assert read_table(spark, path, "metrics", "2020-01-01T00:00:00Z", "2023-01-01T00:00:00Z").count() == 0
     assert scan(read_table(spark, path, "metrics", "2020-01-01T00:00:00Z", iso(0)), None, iso(0)).count() == 2
 
 
