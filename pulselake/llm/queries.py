@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from pulselake.llm import byte_bpe, common, cover_tree, decontamination, html_content, huffman_tokens, jaccard_join, language_id, quality, toxicity, warc
+from pulselake.llm import (
+    byte_bpe,
+    common,
+    cover_tree,
+    decontamination,
+    exact_dedup,
+    html_content,
+    huffman_tokens,
+    importance,
+    jaccard_join,
+    language_id,
+    quality,
+    toxicity,
+    warc,
+)
 
 
 def op9_byte_bpe(spark, sf_dir: str):
@@ -22,6 +36,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op12_importance": importance.op12_importance,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 
 ORACLES = {
@@ -29,4 +45,5 @@ ORACLES = {
     "op5_top_k": cover_tree.OP5_SQL,
     "op8_warc": warc.OP8_SQL,
     "op10_jaccard_join": jaccard_join.OP10_SQL,
+    "op13_exact_dedup": exact_dedup.OP13_SQL,
 }
