@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pulselake.llm import (
     byte_bpe,
+    collocations,
     common,
     cover_tree,
     decontamination,
@@ -36,6 +37,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_collocations": collocations.op11_collocations,
     "op12_importance": importance.op12_importance,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
@@ -45,5 +47,6 @@ ORACLES = {
     "op5_top_k": cover_tree.OP5_SQL,
     "op8_warc": warc.OP8_SQL,
     "op10_jaccard_join": jaccard_join.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op13_exact_dedup": exact_dedup.OP13_SQL,
 }
