@@ -34,9 +34,9 @@ from pulselake.llm.words import byte_spans, lower_ascii, mix, spans, text_bytes,
 LONGEST = 5
 LEAST = 100
 FIRST = 2000
-SLICE_BYTES = 2_000_000
-BURST = 16_384
-HELD = 800_000
+SLICE_BYTES = 1_000_000
+BURST = 8_192
+HELD = 300_000
 PART_WORDS = 1_000_000
 BITMAP_BITS = {1: 24, 2: 26}
 BLOCK_BITS = 16
