@@ -36,7 +36,7 @@ LEAST = 100
 FIRST = 2000
 SLICE_BYTES = 1_000_000
 BURST = 8_192
-HELD = 300_000
+HELD = 500_000
 PART_WORDS = 1_000_000
 BITMAP_BITS = {1: 24, 2: 26}
 BLOCK_BITS = 16
@@ -253,7 +253,8 @@ def local_counts(docs: DataFrame, longest: int, filters: Kept | None, parts: int
 
 
 def merged(runs: DataFrame, least: int) -> DataFrame:
-    """(length, parent, word, f) of the phrases with f of ``least`` or more; with length 0, the number of words of each lang."""
+    """(length, parent, word, f, id) of the phrases with f of ``least`` or more, id being theirs as the first part of longer ones;
+    with length 0, the number of words of each lang."""
 
     def merge(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -270,21 +271,10 @@ def merged(runs: DataFrame, least: int) -> DataFrame:
             keep = np.append(keep, np.ones(len(langs), bool))
             lengths, parent, word = np.append(lengths, np.zeros(len(langs), np.int32)), np.append(parent, langs), np.append(word, langs)
             count = np.append(count, sums)
-        columns = (lengths, parent.view(np.int64), word.view(np.int64), count)
-        return pa.table([pa.array(x[keep]) for x in columns], names=["length", "parent", "word", "f"])
+        columns = (lengths, parent.view(np.int64), word.view(np.int64), count, mix(parent, word).view(np.int64))
+        return pa.table([pa.array(x[keep]) for x in columns], names=["length", "parent", "word", "f", "id"])
 
-    return runs.groupBy("part", "length").applyInArrow(merge, "length int, parent bigint, word bigint, f bigint")
-
-
-def with_ids(counts: DataFrame) -> DataFrame:
-    """The rows with the id that a phrase has as the first part of longer ones."""
-
-    def run(batches):
-        for batch in batches:
-            parent, word = (batch[c].to_numpy().view(np.uint64) for c in ("parent", "word"))
-            yield batch.append_column("id", pa.array(mix(parent, word).view(np.int64)))
-
-    return counts.mapInArrow(run, "length int, parent bigint, word bigint, f bigint, id bigint")
+    return runs.groupBy("part", "length").applyInArrow(merge, "length int, parent bigint, word bigint, f bigint, id bigint")
 
 
 def bitmap(ids: DataFrame, bits: int) -> Filter:
@@ -337,7 +327,7 @@ def frequent(docs: DataFrame, longest: int, least: int, seed: int) -> tuple[Data
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + size // (6 * PART_WORDS)
     for step in dict.fromkeys((1, min(2, longest), longest)):
-        now = written(with_ids(merged(local_counts(docs, step, kept, parts, seed), least)), "phrase-counts")
+        now = written(merged(local_counts(docs, step, kept, parts, seed), least), "phrase-counts")
         counts = counts.unionByName(now) if counts is not None else now
         if step in BITMAP_BITS and step < longest:
             filters = filters | {step: bitmap(now.filter(F.col("length") == step).select("id"), BITMAP_BITS[step])}
