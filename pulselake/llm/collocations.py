@@ -1,17 +1,20 @@
 """Collocations: phrases of two to five words that occur more often than their parts let expect, for each language.
 
-Three passes over the texts count words, pairs and longer phrases. Each task counts in a trie of hash containers: bytes of the ids
+Passes over the texts count words and then phrases. Each task counts in a trie of hash containers: bytes of the ids
 of a phrase's first words lead down a shallow trie, and a container at its leaf holds the hashes of the phrases below
 with their counts. A container that grows over ``BURST`` entries bursts into a node of 256 smaller ones. When the trie
 holds ``HELD`` entries, its largest subtrees are spilled whole, as sorted runs by prefix partition, until half are left.
 A partition merges its runs and keeps what occurs ``least`` times. The partition is chosen by the first four words of a
 phrase, so what one prefix can add to it is bounded by the vocabulary, and repeats are counted before they are sent.
 
-A phrase is frequent only if all pairs in it are, and a pair only if both words are. The second and third pass ask bitmaps of
-fixed size for that; a false yes costs time and nothing else, so results are exact however full the bitmaps are.
+A phrase is frequent only if all pairs in it are, and a pair only if both words are. So a pass between counts pairs of frequent
+words by hash bucket, and phrases are cut at pairs whose bucket is not frequent. Bitmaps of fixed size carry both
+answers; a false yes costs time and nothing else, so results are exact however full the bitmaps are. A last pass fetches the
+texts of the words that the result names.
 
-A word's id is a 64-bit hash; a phrase is known by the id of all but its last word and the id of that, 128 bits. Words
-of equal id, and frequent phrases of equal id, are looked for, and another seed is taken if there are any.
+A word's id is a 64-bit hash; a phrase is known by the id of all but its last word and the id of that, 128 bits. Frequent ids
+that two words share, by a second hash, and ids that two frequent phrases share are looked for, and another seed
+is taken if there are any.
 
 Defined cases: a null text is empty, a null lang is ``und``, equal to a lang of that name. Repeated rows count each time. Ids and
 extra columns are ignored. Empty tables give no rows. Scores are exact; numbers over 38 digits are an error.
@@ -39,7 +42,7 @@ BURST = 8_192
 HELD = 500_000
 PART_WORDS = 1_000_000
 BITMAP_BITS = {1: 24, 2: 26}
-BLOCK_BITS = 16
+BLOCK_BITS = 14
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
@@ -68,17 +71,16 @@ class Container:
 
 def counted(path: np.ndarray, parent: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple:
     """Each phrase once with its counts added up, by hash."""
+    order = np.argsort(mix(parent, word))
+    path, parent, word = path[order], parent[order], word[order]
     hashes = mix(parent, word)
-    order = np.argsort(hashes)
-    hashes, parent, word = hashes[order], parent[order], word[order]
-    fresh = np.append(True, hashes[1:] != hashes[:-1])
-    other = (parent[1:] != parent[:-1]) | (word[1:] != word[:-1])
-    if (other & ~fresh[1:]).any():  # two phrases of one hash
-        again = np.lexsort((word, parent))
-        order, parent, word = order[again], parent[again], word[again]
-        fresh = np.append(True, (parent[1:] != parent[:-1]) | (word[1:] != word[:-1]))
-    first = np.flatnonzero(fresh)
-    return path[order][first], parent[first], word[first], np.add.reduceat(count[order], first) if len(first) else count[:0]
+    new = (parent[1:] != parent[:-1]) | (word[1:] != word[:-1]) | (path[1:] != path[:-1])
+    if (new & (hashes[1:] == hashes[:-1])).any():  # two phrases of one hash
+        again = np.lexsort((path, word, parent))
+        order, path, parent, word = order[again], path[again], parent[again], word[again]
+        new = (parent[1:] != parent[:-1]) | (word[1:] != word[:-1]) | (path[1:] != path[:-1])
+    first = np.flatnonzero(np.append(True, new)) if len(order) else order
+    return path[first], parent[first], word[first], np.add.reduceat(count[order], first) if len(first) else count
 
 
 class HatTrie:
@@ -163,6 +165,7 @@ class Words:
     """The words of a slice of rows: where they stand, their ids, and whether the next one is in the same piece."""
 
     def __init__(self, texts: pa.Array, langs: list[str], seed: int, ids_of_langs: dict[str, int]):
+        self.seed = seed
         self.data, begins, ends = text_bytes(texts)
         self.data = lower_ascii(self.data)
         kind = _KIND[self.data]
@@ -180,39 +183,43 @@ def _top(ids: np.ndarray, place: int) -> np.ndarray:
     return (ids >> np.uint64(48)) << np.uint64(48 - 16 * place)
 
 
-def phrases(words: Words, longest: int, filters: dict[int, Filter]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, path, parent, word) of the phrases of a pass: words; pairs of frequent words; or longer ones of frequent pairs."""
+def frequent_pairs(words: Words, filters: dict[int, Filter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, id of the first word, id of the pair) of neighbours in a piece that may both be frequent."""
     one = mix(words.lang, words.ids)
-    if longest == 1:
-        yield 1, _top(one, 0), words.lang, words.ids
-        return
-    frequent = filters[1](one)
-    pairs = np.flatnonzero(words.joined & frequent[:-1] & frequent[1:])
-    if longest == 2:
-        two = mix(one[pairs], words.ids[pairs + 1])
-        yield 2, _top(one[pairs], 0) | _top(two, 1), one[pairs], words.ids[pairs + 1]
+    able = filters[1](one)
+    at = np.flatnonzero(words.joined & able[:-1] & able[1:])
+    return at, one[at], mix(one[at], words.ids[at + 1])
+
+
+def phrases(words: Words, longest: int, filters: dict[int, Filter]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, path, parent, word) of all words, with a second hash in place of the path; or, given filters, of all
+    longer phrases whose pairs may be frequent."""
+    if not filters:
+        yield 1, word_hashes(words.data, words.starts, words.stops, words.seed + (1 << 32)), words.lang, words.ids
         return
-    own = mix(one[pairs], words.ids[pairs + 1])
-    path = _top(one[pairs], 0) | _top(own, 1)
+    at, one, own = frequent_pairs(words, filters)
     good = filters[2](own)
-    at, own, path = pairs[good], own[good], path[good]
-    chain = np.zeros(len(one) + longest, bool)
+    at, one, own = at[good], one[good], own[good]
+    chain = np.zeros(len(words.ids) + longest, bool)
     chain[at] = True
+    path = _top(one, 0) | _top(own, 1)
+    yield 2, path, one, words.ids[at + 1]
     for size in range(3, longest + 1):
         on = chain[at + size - 2]  # the pair that the next word makes
-        at, own, path = at[on], own[on], path[on]
+        at, parent, path = at[on], own[on], path[on]
         word = words.ids[at + size - 1]
-        parent, own = own, mix(own, word)
+        own = mix(parent, word)
         path = path | _top(own, size - 1) if size <= 4 else path
         yield size, path, parent, word
 
 
 def _sent(length: int, entries: tuple, parts: int) -> Iterator[pa.RecordBatch]:
-    """Entries as sorted runs, one for each prefix partition that has any."""
+    """Entries as sorted runs, one for each prefix partition that has any; words go with their second hash."""
     path, parent, word, count = entries
-    part = mix(np.full(len(path), length, np.uint64), path) % np.uint64(parts)
+    part = mix(np.full(len(path), length, np.uint64), mix(parent, word) if length == 1 else path) % np.uint64(parts)
     order = np.lexsort((word, parent, part))
-    part, parent, word, count = part[order], parent[order], word[order], count[order]
+    part = part[order]
+    sent = [parent[order], word[order], count[order].astype("<i8"), path[order] if length == 1 else path[:0]]
     begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     bounds = np.append(begin, len(part)).tolist()
     rows = list(zip(bounds, bounds[1:]))
@@ -220,13 +227,13 @@ def _sent(length: int, entries: tuple, parts: int) -> Iterator[pa.RecordBatch]:
         [
             pa.array(part[begin].astype(np.int64)),
             pa.array([length] * len(rows), pa.int32()),
-            *(pa.array([x[a:b].tobytes() for a, b in rows], pa.binary()) for x in (parent, word, count.astype("<i8"))),
+            *(pa.array([x[a:b].tobytes() for a, b in rows], pa.binary()) for x in sent),
         ],
-        names=["part", "length", "parents", "words", "counts"],
+        names=["part", "length", "parents", "words", "counts", "checks"],
     )
 
 
-RUNS = "part bigint, length int, parents binary, words binary, counts binary"
+RUNS = "part bigint, length int, parents binary, words binary, counts binary, checks binary"
 
 
 def local_counts(docs: DataFrame, longest: int, filters: Kept | None, parts: int, seed: int) -> DataFrame:
@@ -254,17 +261,20 @@ def local_counts(docs: DataFrame, longest: int, filters: Kept | None, parts: int
 
 def merged(runs: DataFrame, least: int) -> DataFrame:
     """(length, parent, word, f, id) of the phrases with f of ``least`` or more, id being theirs as the first part of longer ones;
-    with length 0, the number of words of each lang."""
+    with length 0, the number of words of each lang; with length -1, frequent ids that two words share."""
 
     def merge(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         length = group["length"][0].as_py()
-        parent, word = (np.frombuffer(b"".join(group[c].to_pylist()), np.uint64) for c in ("parents", "words"))
+        parent, word, check = (np.frombuffer(b"".join(group[c].to_pylist()), np.uint64) for c in ("parents", "words", "checks"))
         count = np.frombuffer(b"".join(group["counts"].to_pylist()), np.int64)
-        _, parent, word, count = counted(parent, parent, word, count)
+        check, parent, word, count = counted(check if length == 1 else parent, parent, word, count)
         lengths = np.full(len(count), length, np.int32)
         keep = count >= least
         if length == 1:
+            same = np.append(False, (parent[1:] == parent[:-1]) & (word[1:] == word[:-1]))
+            keep |= same
+            lengths[same] = -1
             langs, code = np.unique(parent, return_inverse=True)
             sums = np.zeros(len(langs), np.int64)
             np.add.at(sums, code, count)
@@ -277,6 +287,43 @@ def merged(runs: DataFrame, least: int) -> DataFrame:
     return runs.groupBy("part", "length").applyInArrow(merge, "length int, parent bigint, word bigint, f bigint, id bigint")
 
 
+def pair_filter(docs: DataFrame, filters: Kept, least: int, seed: int) -> Filter:
+    """A bitmap of the hash buckets into which pairs of frequent words fall ``least`` times or more.
+
+    A task counts no further than ``least``. Its counts go by block of buckets to the tasks that add them up.
+    """
+    bits, step = BITMAP_BITS[2], 1 << BLOCK_BITS
+    kind = np.min_scalar_type(least)
+
+    def count(batches):
+        counts, known = np.zeros(1 << bits, kind), {}
+        for batch in batches:
+            texts, langs = batch.column(0), batch.column(1).to_pylist()
+            for a, b in byte_spans(texts, SLICE_BYTES):
+                words = Words(texts.slice(a, b - a), langs[a:b], seed, known)
+                _, _, pairs = frequent_pairs(words, filters.get())
+                bucket, times = np.unique(pairs & np.uint64((1 << bits) - 1), return_counts=True)
+                counts[bucket] = np.minimum(counts[bucket] + times, least)
+        used = np.flatnonzero(counts)
+        for block, at in ((int(x[0]) // step, x) for x in np.split(used, np.flatnonzero(np.diff(used // step)) + 1) if len(x)):
+            columns = [pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in ((at % step).astype("<u4"), counts[at]))]
+            yield pa.record_batch(columns, names=["block", "places", "counts"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                total = totals.setdefault(block, np.zeros(step, np.int64))
+                total[np.frombuffer(places, "<u4")] += np.frombuffer(counts, kind)
+        for block, total in totals.items():
+            marks = np.packbits(total >= least, bitorder="little").tobytes()
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([marks], pa.binary())], names=["block", "data"])
+
+    local = docs.mapInArrow(count, "block int, places binary, counts binary")
+    rows = local.repartition("block").mapInArrow(add, "block int, data binary").collect()
+    return Filter(bits, {r["block"]: bytes(r["data"]) for r in rows})
+
+
 def bitmap(ids: DataFrame, bits: int) -> Filter:
     """A bitmap of ids; its blocks are made by tasks, and no more than its bits come to the driver."""
     step = 1 << BLOCK_BITS
@@ -291,8 +338,8 @@ def bitmap(ids: DataFrame, bits: int) -> Filter:
     return Filter(bits, {r["block"]: bytes(r["data"]) for r in bits_set.groupBy("block").applyInArrow(block, "block int, data binary").collect()})
 
 
-def word_texts(docs: DataFrame, filters: Kept, seed: int) -> DataFrame:
-    """(word, text) of the words that may be frequent, once a task."""
+def word_texts(docs: DataFrame, wanted: Kept, seed: int) -> DataFrame:
+    """(word, text) of the words in a filter, once a task."""
 
     def run(batches):
         seen, known = np.zeros(0, np.uint64), {}
@@ -300,7 +347,7 @@ def word_texts(docs: DataFrame, filters: Kept, seed: int) -> DataFrame:
             texts, langs = batch.column(0), batch.column(1).to_pylist()
             for a, b in byte_spans(texts, SLICE_BYTES):
                 words = Words(texts.slice(a, b - a), langs[a:b], seed, known)
-                at = np.flatnonzero(filters.get()[1](mix(words.lang, words.ids)))
+                at = np.flatnonzero(wanted.get()(words.ids))
                 ids, first = np.unique(words.ids[at], return_index=True)
                 new = ~np.isin(ids, seen, assume_unique=True)
                 ids, first = ids[new], at[first[new]]
@@ -321,27 +368,24 @@ def lang_names(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("lang").distinct().mapInArrow(run, "lang string, root bigint")
 
 
-def frequent(docs: DataFrame, longest: int, least: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(length, parent, word, f, id) of all frequent phrases, with length 0 the word counts of langs; and (word, text)."""
-    spark, filters, counts, kept = docs.sparkSession, {}, None, None
+def frequent(docs: DataFrame, longest: int, least: int, seed: int) -> DataFrame:
+    """(length, parent, word, f, id) of all frequent phrases of up to ``longest`` words, and the other rows of ``merged``."""
+    spark = docs.sparkSession
+    kept = lambda value: Kept(spark, value, lambda x: x)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + size // (6 * PART_WORDS)
-    for step in dict.fromkeys((1, min(2, longest), longest)):
-        now = written(merged(local_counts(docs, step, kept, parts, seed), least), "phrase-counts")
-        counts = counts.unionByName(now) if counts is not None else now
-        if step in BITMAP_BITS and step < longest:
-            filters = filters | {step: bitmap(now.filter(F.col("length") == step).select("id"), BITMAP_BITS[step])}
-            kept = Kept(spark, filters, lambda value: value)
-    one = Kept(spark, {1: filters[1]}, lambda value: value)
-    return counts, written(word_texts(docs, one, seed).distinct(), "word-texts")
+    counts = written(merged(local_counts(docs, 1, None, parts, seed), least), "word-counts")
+    filters = {1: bitmap(counts.filter("length = 1").select("id"), BITMAP_BITS[1])}
+    filters[2] = pair_filter(docs, kept(filters), least, seed)
+    longer = written(merged(local_counts(docs, longest, kept(filters), parts, seed), least), "phrase-counts")
+    return counts.unionByName(longer)
 
 
-def ambiguous(counts: DataFrame, texts: DataFrame, langs: DataFrame) -> bool:
+def ambiguous(counts: DataFrame, langs: DataFrame) -> bool:
     """Whether two langs, words or frequent phrases have one id."""
-    for frame, key in ((langs, "root"), (texts, "word"), (counts.filter("length > 0"), "id")):
-        if not frame.groupBy(key).count().filter("count > 1").isEmpty():
-            return True
-    return False
+    ids = counts.filter("length > 0").groupBy("id").count().filter("count > 1").select("id")
+    roots = langs.groupBy("root").count().filter("count > 1").select("root")
+    return not counts.filter("length < 0").select("id").union(ids).union(roots).isEmpty()
 
 
 def _cuts(spelled: DataFrame) -> DataFrame:
@@ -373,9 +417,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, fi
     docs = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     seed = 0
     while True:
-        counts, texts = frequent(docs, longest, least, seed)
+        counts = frequent(docs, longest, least, seed)
         langs = written(lang_names(docs, seed), "langs")
-        if not ambiguous(counts, texts, langs):
+        if not ambiguous(counts, langs):
             break
         seed += 2
     spelled = counts.filter("length = 1").select("id", F.col("parent").alias("root"), F.array("word").alias("words"))
@@ -407,9 +451,11 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, fi
     scored = whole.withColumn("score", F.expr("CAST((above * CAST(1000 AS DECIMAL(4,0))) DIV below AS BIGINT)"))
     best = scored.groupBy("id").agg(F.min(F.struct("score", "cut", "root", "a", "l", "r", "n")).alias("best")).select("id", "best.*")
     by_score = Window.partitionBy("root").orderBy(F.desc("score"), F.desc("a"))
-    top = best.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= first).drop("place", "cut")
+    top = written(best.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= first).drop("place", "cut"), "top")
 
-    letters = top.join(spelled.select("id", "words"), "id").select("id", F.posexplode("words").alias("place", "word")).join(texts, "word")
+    letters = written(top.join(spelled.select("id", "words"), "id").select("id", F.posexplode("words").alias("place", "word")), "words")
+    wanted = Kept(docs.sparkSession, bitmap(letters.select(F.col("word").alias("id")), BITMAP_BITS[1]), lambda value: value)
+    letters = letters.join(word_texts(docs, wanted, seed).distinct(), "word")
     phrase = letters.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("phrase"))
     named = top.join(phrase, "id").join(langs, "root")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

@@ -63,21 +63,25 @@ def test_against_brute_force(spark, monkeypatch, held, burst):
 
 
 def test_full_bitmaps_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "BITMAP_BITS", {1: 16, 2: 16})
+    monkeypatch.setattr(collocations, "BITMAP_BITS", {1: 14, 2: 14})
     monkeypatch.setattr(collocations.Filter, "__call__", lambda self, ids: np.ones(len(ids), bool))
     rows = [("en", "a b c d e f")] * 4 + [("en", "a b x d e")] * 3
     assert result(table(spark, rows), least=3) == brute(rows, 5, 3, 2000)
 
 
-def test_words_of_equal_id_are_noticed(spark):
+def test_words_of_equal_id_take_another_seed(spark, monkeypatch):
+    one = lambda seed, check: np.array([(7, 5, 11, 4, check), (7, 5, 12, 3, check + 1)])
+    runs = [(0, 1, *(column.astype(np.int64).tobytes() for column in rows.T[1:])) for rows in (one(0, 1), one(0, 1), one(0, 9))]
+    frame = spark.createDataFrame(runs, "part bigint, length int, parents binary, words binary, counts binary, checks binary")
+    langs = spark.createDataFrame([("en", 5)], "lang string, root bigint")
+    assert not collocations.ambiguous(collocations.merged(frame.limit(2), 3), langs)
+    assert collocations.ambiguous(collocations.merged(frame, 3), langs)
+    assert collocations.ambiguous(collocations.merged(frame.limit(2), 3), langs.union(langs))
+    seeds = []
+    plain = collocations.ambiguous
+    monkeypatch.setattr(collocations, "ambiguous", lambda counts, langs: plain(counts, langs) or not seeds.append(1) and len(seeds) < 2)
     rows = [("en", "ab ac"), ("en", "ac ab")] * 5
-    frame = table(spark, rows)
-    counts, texts = collocations.frequent(frame.select("text", "lang"), 5, 2, 0)
-    langs = collocations.lang_names(frame, 0)
-    assert not collocations.ambiguous(counts, texts, langs)
-    same = spark.createDataFrame([(1, "ab"), (1, "ac")], "word bigint, text string")
-    assert collocations.ambiguous(counts, same, langs)
-    assert result(frame, least=2) == brute(rows, 5, 2, 2000)
+    assert result(table(spark, rows), least=2) == brute(rows, 5, 2, 2000) and len(seeds) == 2
 
 
 def test_long_text_and_empty_table(spark):
