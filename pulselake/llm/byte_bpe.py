@@ -5,7 +5,8 @@ parameter and must exist on every executor. Texts are cut into words by characte
 words of a batch are encoded once, and the ids of a text are gathered from those of its words.
 
 Null and empty texts have no ids. Rows are kept as they come, repeated ids and nulls included; extra columns are
-ignored. Memory is bounded by an Arrow batch and the word cache, which is emptied at ``CACHE_WORDS``.
+ignored. Memory is bounded by an Arrow batch and the word cache, which is emptied at ``CACHE_WORDS`` words or ``CACHE_BYTES``
+bytes of them. A file with a normaliser, another pre-tokenizer or flags of added tokens that change a text is an error.
 """
 
 from __future__ import annotations
@@ -13,18 +14,19 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pulselake.llm.common import code_points, expand, slices
+from pulselake.llm.common import code_points, expand, held, slices
+from pulselake.llm.words import LONG_WORD, MASKS, eight_bytes, word_hashes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 SLICE_CHARS = 1_000_000
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
+CACHE_BYTES = 16_000_000
 # The contractions that the pattern of byte-level BPE takes as words.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -93,12 +95,26 @@ def word_starts(points: np.ndarray, section_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def supported(path: str) -> dict:
+    """The content of a tokenizer file, if it holds byte-level BPE and nothing that this module doesn't do."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    model, before = content["model"], content.get("pre_tokenizer") or {}
+    odd = [name for name in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(name)]
+    odd += ["normalizer"] if content.get("normalizer") else []
+    odd += ["model type"] if model.get("type", "BPE") != "BPE" else []
+    odd += ["pre_tokenizer"] if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) else []
+    odd += [f"{flag} of {t['content']}" for t in content["added_tokens"] for flag in ("lstrip", "rstrip", "single_word") if t.get(flag)]
+    if odd:
+        raise ValueError(f"no plain byte-level BPE: {', '.join(odd)}")
+    return content
+
+
 class Vocabulary:
     """Ids, bytes and merges of a tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            content = json.load(file)
+        content = supported(path)
         ids = content["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.byte_of = _byte_of_char()
@@ -193,7 +209,11 @@ def merge_rounds(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndar
 
 
 class Encoder:
-    """Ids of texts, with a cache of words. ``encode_words`` gives the ids of words not seen yet."""
+    """Ids of texts, with a cache of words. ``encode_words`` gives the ids of words not seen yet.
+
+    Words are looked up by hash, and their bytes compared with those of the cached word; a word becomes a string only when
+    it is new. A word whose hash another one has is encoded apart.
+    """
 
     def __init__(self, special: dict[str, int], encode_words):
         self.special, self.encode_words = special, encode_words
@@ -201,21 +221,34 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        self.index: dict[str, int] = {}
-        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self._learn(list(self.special), np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
-
-    def _learn(self, words, ids, lengths):
-        known = len(self.index)
-        self.index.update(zip(words, range(known, known + len(words))))
-        starts = np.cumsum(lengths) - lengths + len(self.ids)
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and the word of each
+        self.ids, self.lengths, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.data, self.begins, self.sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.special:
+            names = [s.encode() for s in self.special]
+            sizes = np.array([len(n) for n in names])
+            ends, data = np.cumsum(sizes), np.frombuffer(b"".join(names), np.uint8)
+            self._learn(data, ends - sizes, ends, np.array(list(self.special.values())), np.ones(len(names), np.int64))
+
+    def _learn(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, ids: np.ndarray, lengths: np.ndarray, known: bool = True) -> np.ndarray:
+        """Add words; those that are not to be known can be used by their place only."""
+        places = len(self.lengths) + np.arange(len(begins))
+        if known:
+            hashes = word_hashes(data, begins, ends, 0)
+            order = np.argsort(hashes)
+            at = np.searchsorted(self.hashes, hashes[order])
+            self.hashes, self.place = np.insert(self.hashes, at, hashes[order]), np.insert(self.place, at, places[order])
+        sizes = ends - begins
+        self.begins = np.concatenate([self.begins, len(self.data) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.data = np.concatenate([self.data, data[expand(begins, sizes)]])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.starts = np.concatenate([self.starts, starts])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        return places
 
-    def _words(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The words of all texts, and how many each text has."""
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all texts, where words begin and end in them, and how many words each text has."""
         sections, owner, special = [], [], []
         for i, text in enumerate(texts):
             parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
@@ -224,8 +257,9 @@ class Encoder:
                     sections.append(part)
                     owner.append(i)
                     special.append(k % 2 == 1)
+        none = np.zeros(0, np.int64)
         if not sections:
-            return [], np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.uint8), none, none, np.zeros(len(texts), np.int64)
         sizes = np.array([len(s) for s in sections], np.int64)
         begins = np.cumsum(sizes) - sizes
         starts = word_starts(code_points(sections), begins)
@@ -234,38 +268,62 @@ class Encoder:
         if whole.any():
             keep = ~whole[of] | (starts == begins[of])
             starts, of = starts[keep], of[keep]
-        joined = "".join(sections)
-        bounds = starts.tolist()
-        words = [joined[a:b] for a, b in zip(bounds, [*bounds[1:], len(joined)])]
-        return words, np.bincount(np.array(owner)[of], minlength=len(texts))
+        data = np.frombuffer("".join(sections).encode("utf-8", "surrogatepass"), np.uint8)
+        if len(data) > sizes.sum():
+            starts = np.flatnonzero((data & 0xC0) != 0x80)[starts]
+        return data, starts, np.append(starts[1:], len(data)), np.bincount(np.array(owner)[of], minlength=len(texts))
+
+    def _same(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether the words are those at the places of the cache, byte by byte."""
+        same = sizes == self.sizes[places]
+        for i in np.flatnonzero(same & (sizes > LONG_WORD)).tolist():
+            a, b, n = begins[i], self.begins[places[i]], sizes[i]
+            same[i] = np.array_equal(data[a : a + n], self.data[b : b + n])
+        left = np.flatnonzero(same & (sizes <= LONG_WORD))
+        mine, cached, at = eight_bytes(data), eight_bytes(self.data), 0
+        while len(left):
+            mask = MASKS[np.minimum(sizes[left] - at, 8)]
+            same[left] = ((mine[begins[left] + at] ^ cached[self.begins[places[left]] + at]) & mask) == 0
+            at += 8
+            left = left[same[left] & (sizes[left] > at)]
+        return same
+
+    def _encode(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, known: bool = True) -> np.ndarray:
+        raw = data.tobytes()
+        words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begins.tolist(), ends.tolist())]
+        return self._learn(data, begins, ends, *self.encode_words(words), known)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each text has."""
-        words, counts = self._words(texts)
-        if len(self.index) > CACHE_WORDS:
+        data, begins, ends, counts = self._words(texts)
+        if len(self.lengths) > CACHE_WORDS or len(self.data) > CACHE_BYTES:
             self._clear()
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        unseen = np.flatnonzero(at < 0)
-        if len(unseen):
-            unseen_words = [words[i] for i in unseen.tolist()]
-            distinct = list(dict.fromkeys(unseen_words))
-            self._learn(distinct, *self.encode_words(distinct))
-            at[unseen] = np.fromiter(map(self.index.__getitem__, unseen_words), np.int64, len(unseen))
-        lengths = self.lengths[at]
-        ids = self.ids[expand(self.starts[at], lengths)]
-        ends = np.append(0, np.cumsum(lengths))
+        distinct, first, which = np.unique(word_hashes(data, begins, ends, 0), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        fresh = at == len(self.hashes)
+        fresh[~fresh] = self.hashes[at[~fresh]] != distinct[~fresh]
+        places = np.zeros(len(distinct), np.int64)
+        places[~fresh] = self.place[at[~fresh]]
+        if fresh.any():
+            new = first[fresh]
+            places[fresh] = self._encode(data, begins[new], ends[new])
+        places = places[which]
+        other = np.flatnonzero(~self._same(data, begins, ends - begins, places))
+        if len(other):
+            places[other] = self._encode(data, begins[other], ends[other], known=False)
+        lengths = self.lengths[places]
+        ids = self.ids[expand(self.starts[places], lengths)]
+        totals = np.append(0, np.cumsum(lengths))
         stops = np.cumsum(counts)
-        return ids, ends[stops] - ends[stops - counts]
+        return ids, totals[stops] - totals[stops - counts]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    v = vocabulary(path)
-
-    def by_merges(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return merge_rounds([w.encode("utf-8", "surrogatepass") for w in words], v)
+    def make() -> Encoder:
+        v = vocabulary(path)
+        return Encoder(v.special, lambda words: merge_rounds([w.encode("utf-8", "surrogatepass") for w in words], v))
 
-    return Encoder(v.special, by_merges)
+    return held(("byte_bpe", path), make)
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:

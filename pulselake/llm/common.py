@@ -55,17 +55,26 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+_slot: dict = {}
+
+
+def held(key, make):
+    """What a worker process keeps from one batch or task to the next: one value, freed when another is asked for.
+
+    Workers are used again by later stages, so whatever they keep adds up over a pipeline unless it shares a slot.
+    """
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
 class Kept:
     """A broadcast value with what a worker process derives from it once."""
 
-    _made: dict = {}
-
     def __init__(self, spark: SparkSession, value, derive):
         self.value, self.derive = spark.sparkContext.broadcast(value), derive
 
     def get(self):
-        made, key = Kept._made, self.value._path if hasattr(self.value, "_path") else id(self.value)
-        if key not in made:
-            made.clear()
-            made[key] = self.derive(self.value.value)
-        return made[key]
+        key = self.value._path if hasattr(self.value, "_path") else id(self.value)
+        return held(key, lambda: self.derive(self.value.value))

@@ -17,7 +17,6 @@ import json
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulselake.llm.byte_bpe import SLICE_CHARS, Encoder
-from pulselake.llm.common import Kept, slices, table, written
+from pulselake.llm.byte_bpe import SLICE_CHARS, Encoder, supported
+from pulselake.llm.common import Kept, held, slices, table, written
 from pulselake.session import shared_folder
 
 END_ID = 2
@@ -37,19 +36,35 @@ TABLE_BITS = 18
 MAGIC = b"HUFTOK01"
 
 
-@lru_cache(maxsize=2)
+WORDS_A_TEXT = 50
+
+
 def library_encoder(path: str) -> tuple[Encoder, int]:
-    """Ids as the tokenizers library gives them, which encodes each word once; and the size of the vocabulary."""
+    """Ids as the tokenizers library gives them, which encodes each word once; and the size of the vocabulary.
+
+    The library gets words joined by a special token, at which it cuts a text itself: an object for each word would cost
+    more than encoding it.
+    """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    def make() -> tuple[Encoder, int]:
+        supported(path)
+        tokenizer = Tokenizer.from_file(path)
+        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        between, end = next(((t, i) for t, i in special.items()), ("", -1))
+        step = WORDS_A_TEXT if between else 1
+
+        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            texts = [between.join(words[i : i + step]) + between for i in range(0, len(words), step)]
+            lists = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            if not between:
+                return np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
+            ids = np.concatenate(lists)
+            return ids[ids != end], np.diff(np.flatnonzero(ids == end), prepend=-1) - 1
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.array(list(chain.from_iterable(lists)), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+        return Encoder(special, encode), tokenizer.get_vocab_size(with_added_tokens=True)
 
-    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return Encoder(special, encode), tokenizer.get_vocab_size(with_added_tokens=True)
+    return held(("library", path), make)
 
 
 def width(vocabulary: int) -> str:

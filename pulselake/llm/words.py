@@ -11,6 +11,7 @@ import xxhash
 from pulselake.llm.common import slices
 
 LONG_WORD = 256
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # of the first bytes of eight
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
@@ -29,10 +30,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, bounds[:-1], bounds[1:]
 
 
-def byte_spans(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+def byte_spans(column: pa.Array, limit: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of at most so many bytes; a longer text comes alone."""
     _, begins, ends = text_bytes(column)
-    yield from slices((ends - begins).tolist(), limit)
+    yield from slices((ends - begins).tolist(), limit, rows)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -62,18 +63,21 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number; zeros stand beyond the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int) -> np.ndarray:
     """64-bit hashes of stretches of bytes, taken eight bytes at a time; words of equal length up to eight never collide."""
     lengths = stops - starts
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+    eight = eight_bytes(data)
     out = mix(np.full(len(starts), seed, np.uint64), lengths.astype(np.uint64))
     short = np.flatnonzero(lengths <= LONG_WORD)
     at = 0
     while len(short):
         size = np.minimum(lengths[short] - at, 8)
-        out[short] = mix(out[short], eight[starts[short] + at] & masks[size])
+        out[short] = mix(out[short], eight[starts[short] + at] & MASKS[size])
         at += 8
         short = short[lengths[short] > at]
     for i in np.flatnonzero(lengths > LONG_WORD).tolist():

@@ -1,6 +1,7 @@
 """Byte-level BPE and token files against the tokenizers library."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -37,6 +38,35 @@ def test_odd_texts():
     assert ours(ODD, huffman_tokens.library_encoder(PATH)[0]) == ids(ODD)
 
 
+def test_words_of_one_hash(monkeypatch):
+    plain = byte_bpe.word_hashes
+    monkeypatch.setattr(byte_bpe, "word_hashes", lambda *args: plain(*args) % np.uint64(7))
+    texts = [*ODD, "w" * 700, "w" * 699 + "v", "many other words that share their hash with some of the others"]
+    for coder in (byte_bpe.Encoder(*(lambda e: (e.special, e.encode_words))(byte_bpe.encoder(PATH))), huffman_tokens.library_encoder(PATH)[0]):
+        coder._clear()
+        for _ in range(2):
+            assert ours(texts, coder) == ids(texts)
+        coder._clear()
+
+
+def test_cache_is_emptied(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 5)
+    for text in ODD:
+        assert ours([text, "more words"]) == ids([text, "more words"])
+
+
+def test_other_files_are_errors(tmp_path):
+    with open(PATH, encoding="utf-8") as file:
+        content = json.load(file)
+    changes = [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": content["pre_tokenizer"] | {"add_prefix_space": True}}]
+    changes += [{"added_tokens": [content["added_tokens"][0] | {"lstrip": True}]}, {"model": content["model"] | {"dropout": 0.1}}]
+    for k, change in enumerate(changes):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(content | change))
+        with pytest.raises(ValueError, match="no plain byte-level BPE"):
+            byte_bpe.Vocabulary(str(path))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab 't'sre\n\t1!é<|"), st.characters(exclude_categories=["Cs"])), max_size=40), min_size=1, max_size=5))
 def test_any_text(texts):

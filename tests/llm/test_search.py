@@ -50,9 +50,12 @@ def brute_components(rows, percent):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("block", [10**6, 120])
-def test_jaccard_join_near_copies(docs, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot", "part"), [(10**6, 16, 10**7), (120, 2, 2000), (10**6, 6, 500)])
+def test_jaccard_join_near_copies(docs, monkeypatch, block, hot, part):
     monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", block)
+    monkeypatch.setattr(jaccard_join, "HOT_SETS", hot)
+    monkeypatch.setattr(jaccard_join, "BYTES_PER_PART", part)
+    monkeypatch.setattr(jaccard_join, "SLICE_ROWS", 11)
     rng = random.Random(5)
     base = [f"w{rng.randrange(400)}" for _ in range(60)]
     texts = []
@@ -73,6 +76,28 @@ def test_jaccard_join_odd_rows(docs):
     assert jaccard_join.join_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_different_texts_under_one_id(docs):
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    texts = [a, b, a[:15] + b[15:], [*a, "zz"], b, ["lone"]]
+    df = docs([" ".join(t) for t in texts], ids=[1, 1, 2, 3, 4, 5])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_components(df).collect())
+    assert got == [(1, 27, 1), (1, 27, 1), (2, 27, 2), (3, 28, 1), (4, 27, 1), (5, 1, 5)]
+
+
+def test_jaccard_join_sends_in_proportion(docs):
+    """More parts of the hashes do not make more data than a set's name with each n-gram."""
+    rng = random.Random(3)
+    df = docs([" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(150)]).coalesce(1)
+    grams = 150 * 37
+
+    def bytes_of(parts):
+        rows = jaccard_join.sent_grams(df.select("doc_id", "text"), 4, parts).collect()
+        return sum(len(r.sets) + len(r.hashes) + len(r.owners) + len(r.marks) for r in rows)
+
+    assert bytes_of(1) <= grams * 10 + 16 * 150
+    assert bytes_of(100_000) <= grams * 26
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (None, 3), *((k, k + 1) for k in range(20, 60))]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
