@@ -84,6 +84,15 @@ def test_jaccard_join_different_texts_under_one_id(docs):
     assert got == [(1, 27, 1), (1, 27, 1), (2, 27, 2), (3, 28, 1), (4, 27, 1), (5, 1, 5)]
 
 
+def test_jaccard_join_equal_slices_in_two_tasks(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_SETS", 3)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base[: 40 - i]) for i in range(6)] + ["some other words that stand alone", "a b"]
+    df = docs(texts).coalesce(1).union(docs(texts, range(100, 108)).coalesce(1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(df).collect()}
+    assert got == brute_components([*enumerate(texts), *enumerate(texts, 100)], 85)
+
+
 def test_jaccard_join_sends_in_proportion(docs):
     """More parts of the hashes do not make more data than a set's name with each n-gram."""
     rng = random.Random(3)
@@ -92,10 +101,10 @@ def test_jaccard_join_sends_in_proportion(docs):
 
     def bytes_of(parts):
         rows = jaccard_join.sent_grams(df.select("doc_id", "text"), 4, parts).collect()
-        return sum(len(r.sets) + len(r.hashes) + len(r.owners) + len(r.marks) for r in rows)
+        return sum(sum(len(r[c]) for c in ('slice', 'sets', 'sizes', 'hashes', 'owners', 'marks')) for r in rows)
 
-    assert bytes_of(1) <= grams * 10 + 16 * 150
-    assert bytes_of(100_000) <= grams * 26
+    assert bytes_of(1) <= grams * 10 + 36 * 150
+    assert bytes_of(100_000) <= grams * 46
 
 
 def test_components(spark):
