@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulselake.session import shared_folder
 
 
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Python tasks of the session get Arrow batches of ``BATCH_BYTES`` or one row, whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,6 +62,18 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def append_scores(docs: DataFrame, name: str, kept: "Kept", text_col: str = "text") -> DataFrame:
+    """All columns of docs and a double ``name``: what the kept model's ``text_scores`` gives for the texts of a batch."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(kept.get().text_scores(texts), pa.float64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 _slot: dict = {}
 
 

@@ -1,8 +1,9 @@
 """Language of a text by a string kernel.
 
 A text is seen as the set of its n-grams of one to three letters, case ignored, within words; three-letter n-grams also
-take the edge of a word. Two texts compare by the number of n-grams they share over the root of the product of their set
-sizes. Landmark texts give the Nyström features of this kernel, and one ridge regression per language, against the
+take the edge of a word. The ``OWN_LETTERS`` commonest letters of the landmarks have classes of their own, all others share
+``SHARED`` classes by hash. Two texts compare by the number of n-grams they share over the root of the product of their set
+sizes, in which n-grams count that some landmark has. Landmark texts give the Nyström features of this kernel, and one ridge regression per language, against the
 rest, scores them. Scoring a batch is two matrix products.
 
 The model is fitted on a sample of labelled rows, ``landmarks`` and ``samples`` per language at most, chosen by hash of
@@ -23,8 +24,7 @@ from pyspark.sql import functions as F
 from pulselake.llm.common import Kept, code_points, in_fold, slices, table
 
 UNDETERMINED = "und"
-EDGE, UNKNOWN = 0, 1
-MAX_LETTERS = 110
+EDGE, SHARED, OWN_LETTERS = 0, 14, 110
 SLICE_CHARS, SLICE_CELLS = 1_000_000, 6_000_000
 
 
@@ -34,10 +34,11 @@ def _is_letter() -> np.ndarray:
 
 
 def _kinds(letters: str) -> np.ndarray:
-    """The class of every code point: the edge of a word, an unlisted letter, or a listed letter."""
-    kinds = _is_letter().astype(np.uint8)
+    """The class of every code point: the edge of a word, one of those that unlisted letters share, or a listed letter's."""
+    shared = 1 + (np.arange(0x110000, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(16)) % SHARED
+    kinds = np.where(_is_letter(), shared, EDGE).astype(np.uint8)
     for i, c in enumerate(letters):
-        kinds[ord(c)] = UNKNOWN + 1 + i
+        kinds[ord(c)] = SHARED + 1 + i
     return kinds
 
 
@@ -76,7 +77,7 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.base = len(model.letters) + 2
+        self.base = len(model.letters) + SHARED + 1
         self.kinds = _kinds(model.letters)
         self.row = np.full(self.base**3 + self.base**2 + self.base, -1, np.int32)
         self.row[model.vocabulary] = np.arange(len(model.vocabulary))
@@ -132,8 +133,8 @@ def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float = 1e-3
         for c in set(text.lower()):
             if c.isalpha():
                 frequency[c] = frequency.get(c, 0) + 1
-    letters = "".join(sorted(sorted(frequency, key=lambda c: (-frequency[c], c))[:MAX_LETTERS]))
-    base = len(letters) + 2
+    letters = "".join(sorted(sorted(frequency, key=lambda c: (-frequency[c], c))[:OWN_LETTERS]))
+    base = len(letters) + SHARED + 1
     codes, owner = _grams(marks, _kinds(letters), base)
     vocabulary, column = np.unique(codes, return_inverse=True)
     present = np.zeros((len(vocabulary), len(marks)), np.uint8)
@@ -174,12 +175,14 @@ def train(
 
     Texts over ``max_chars`` characters are not sampled, so that the sample stays small on the driver.
     """
-    rows = docs.filter(learn_from & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars))
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    picked = rows.select(id_col, lang_col).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= samples)
-    ids = picked.select(F.col(id_col).alias("_id")).distinct()
-    sample = rows.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left_semi")  # samples x languages rows at most
-    got = sample.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
+    able = docs.filter(learn_from & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars))
+    rows = able.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"))  # a row for each language, which the model holds anyway
+    share = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    near = rows.select("id", "h", "l").join(F.broadcast(sizes), "l").filter(share * F.col("n") < 4 * samples + 100)
+    order = Window.partitionBy("l").orderBy("h", "id")  # of about four times the rows that are wanted
+    picked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= samples).select("id").distinct()
+    got = rows.join(F.broadcast(picked), "id", "left_semi").select("h", "t", "l").collect()  # samples x languages rows at most
     got = sorted(got, key=lambda r: (r.h, r.l, r.t))
     return fit([r.t for r in got], [r.l for r in got], landmarks)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulselake.llm.common import Kept, in_fold, slices, table, written
+from pulselake.llm.common import Kept, append_scores, in_fold, slices, table, written
 
 SLICE_CHARS = 2_000_000
 SHARES = ["upper", "digit", "space", "line_end", "sentence", "comma", "mark", "bar", "sign", "wide"]
@@ -97,6 +97,9 @@ class Scorer:
         ]
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
 
+    def text_scores(self, texts: list[str]) -> np.ndarray:
+        return self.scores(statistics(texts))
+
 
 def fit(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, to_pooled: float, to_diagonal: float) -> Gaussians:
     """From the count, sum and sum of outer products of each class."""
@@ -181,6 +184,11 @@ def score(measured: DataFrame, model: Gaussians) -> DataFrame:
     return chosen.mapInArrow(run, schema.add("score", "double"))
 
 
+def append(docs: DataFrame, model: Gaussians, name: str) -> DataFrame:
+    """All columns of docs and the score of each text, measured and scored in one pass."""
+    return append_scores(docs, name, Kept(docs.sparkSession, model, Scorer))
+
+
 def classify(docs: DataFrame, labels: DataFrame, learn_from: Column) -> DataFrame:
     """(doc_id, score) of every row of docs; learned from labels (doc_id, label) that ``learn_from`` admits."""
     measured = written(measure(docs, ["doc_id"]), "quality")

@@ -33,6 +33,49 @@ def test_language_odd_rows(docs, spark):
     assert {r.lang_pred for r in language_id.predict(df, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_letters_beyond_the_listed_ones_count(monkeypatch):
+    monkeypatch.setattr(language_id, "OWN_LETTERS", 3)
+    texts, labels = ["кот и собака", "дом и река", "猫と犬", "家と川", "the cat", "a dog"] * 2, ["ru", "ru", "ja", "ja", "en", "en"] * 2
+    found, _ = language_id.Scorer(language_id.fit(texts, labels, landmarks=2)).predict(["собака и дом", "川と犬", "the dog"])
+    assert found == ["ru", "ja", "en"]
+
+
+def test_direct_kernel_ridge():
+    """With every text a landmark, the Nyström features give what ridge regression on the kernel itself gives."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcde "), 30)) + word for word in ("x", "y") for _ in range(12)]
+    labels = ["p"] * 12 + ["q"] * 12
+    model = language_id.fit(texts, labels, landmarks=12, ridge=0.05)
+    sets = [{t[i : i + n] for t in (f" {w} " for w in s.split()) for n in (1, 2, 3) for i in range(len(t) - n + 1) if (n == 3 or " " not in t[i : i + n])} for s in texts]
+    kernel = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    centre = np.eye(24) - 1 / 24
+    target = np.where(np.array(labels)[:, None] == np.array(["p", "q"]), 1.0, -1.0)
+    dual = np.linalg.solve(centre @ kernel @ centre + 0.05 * 24 * np.eye(24), target - target.mean(axis=0))
+    wanted = centre @ kernel @ centre @ dual + target.mean(axis=0)
+    scorer = language_id.Scorer(model)
+    assert np.allclose(scorer.kernel(texts) @ scorer.weights + model.bias, wanted, atol=2e-3)
+
+
+def test_training_on_columns_that_clash(docs, spark):
+    df = docs(["the cat and the dog", "the house"] * 400).withColumn("_id", F.lit(3)).withColumn("rank", F.lit(0))
+    assert language_id.train(df, F.lit(True), samples=50).languages == ("en",)
+
+
+def test_convolution_against_formula(small_network):
+    network, language = small_network
+    scorer = toxicity.Scorer(small_network)
+    texts = ["the nasty and the", "", "and", "vile the and the nasty the"]
+    wanted = []
+    for text in texts:
+        rows = [*scorer.word_rows(text).tolist(), 0, 0, 0]
+        pooled = []
+        for width, weights, offset in zip(toxicity.WIDTHS, network.filters, network.offsets):
+            at = [np.concatenate([network.vectors[r] for r in rows[i : i + width]]) @ weights + offset for i in range(len(rows) - width + 1)]
+            pooled.append(np.maximum(np.max(at, axis=0), 0))
+        wanted.append(np.concatenate(pooled) @ network.out + network.bias)
+    assert np.allclose(scorer.logits(texts), wanted, atol=1e-4)
+
+
 def test_presence_kernel_by_hand():
     model = language_id.fit(["ab", "cd"], ["x", "y"], landmarks=1)
     scorer = language_id.Scorer(model)
