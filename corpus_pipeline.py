@@ -1,8 +1,7 @@
 """Documents made ready for training: five stages, each of which works on all that the stage before kept.
 
-All stages but the last return the columns they are given. Rows with a null id pass the join and the
-decontamination only as far as those can judge them: they are in no group of copies, and rows that share an id share
-what happens to it.
+All stages but the last return the columns they are given. A row is known by its number in the table that a stage is
+given, so rows with a null id or with an id that others have are judged like all others: each by its own text.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pulselake.llm import byte_bpe, decontamination, jaccard_join, quality, toxicity
 from pulselake.llm.common import in_fold, table, written
 
-WHOLE = "_row"
+ROW, SCORE = "_row number", "_score of the text"
 ORACLE_SQL = None
 
 
@@ -26,28 +25,39 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier does not reject."""
     measured = written(quality.measure(docs, ["doc_id"]), "quality")
     model = quality.train(measured, _labels(spark, sf_dir, "quality").filter(~in_fold(3, 1)))
-    scored = quality.score(quality.measure(docs, [F.struct("*").alias(WHOLE)]), model)
-    return scored.filter(F.col("score") >= 0.5).select(f"{WHOLE}.*")
+    return quality.append(docs, model, SCORE).filter(F.col(SCORE) >= 0.5).select(docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     models = toxicity.train(docs, _labels(spark, sf_dir, "toxic"), ~in_fold(4, 2))
-    scored = toxicity.score(docs, models, [F.struct("*").alias(WHOLE)])
-    return scored.filter(F.col("score") < toxicity.CUT).select(f"{WHOLE}.*")
+    return toxicity.append(docs, models, SCORE).filter(F.col(SCORE) < toxicity.CUT).select(docs.columns)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with their numbers, which are the same at every reading of a written table."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return _numbered(docs).join(rows, ROW, "left_anti").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 of their five-word sets, the one with the smallest id."""
-    groups = jaccard_join.join_components(docs, size=5, percent=80)
-    others = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(written(others, "others"), "doc_id", "left_anti").select(docs.columns)
+    """Of rows linked by a similarity of 0.8 of their five-word sets, the one with the smallest id, then the first."""
+    rows = _numbered(docs)
+    groups = jaccard_join.join_components(rows.select(F.col(ROW).alias("doc_id"), "text"), size=5, percent=80)
+    members = groups.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("best")
+    stays = members.groupBy("component_id").agg(best).select(F.col("best")[ROW].alias(ROW))
+    return _numbered(docs).join(written(stays, "stays"), ROW, "left_semi").select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    hits = decontamination.match(docs, table(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0)
-    return docs.join(written(hits.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti").select(docs.columns)
+    texts = _numbered(docs).select(F.col(ROW).alias("doc_id"), "text")
+    hits = decontamination.match(texts, table(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0)
+    return _without(docs, written(hits.select(F.col("doc_id").alias(ROW)).distinct(), "contaminated"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
