@@ -14,6 +14,7 @@ from pulselake.llm import byte_bpe, decontamination, jaccard_join, quality, toxi
 from pulselake.llm.common import in_fold, table, written
 
 ROW, SCORE = "_row number", "_score of the text"
+BROADCAST_ROWS = 2_000_000  # 16 MB of row numbers
 ORACLE_SQL = None
 
 
@@ -40,7 +41,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    return _numbered(docs).join(rows, ROW, "left_anti").select(docs.columns)
+    """The rows but those of the written numbers, which go to every executor if they are few enough, so that texts stay in place."""
+    few = rows.count() <= BROADCAST_ROWS
+    return _numbered(docs).join(F.broadcast(rows) if few else rows, ROW, "left_anti").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     members = groups.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("best")
     stays = members.groupBy("component_id").agg(best).select(F.col("best")[ROW].alias(ROW))
-    return _numbered(docs).join(written(stays, "stays"), ROW, "left_semi").select(docs.columns)
+    return _without(docs, written(rows.select(ROW).join(written(stays, "stays"), ROW, "left_anti"), "others"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
