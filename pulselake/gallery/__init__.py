@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["metrics", "logs", "traces", "otlp", "alerts", "storage"]
+MODULES = ["metrics", "logs", "traces", "otlp", "alerts", "storage", "indexed"]
 
 
 def load():

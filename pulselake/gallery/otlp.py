@@ -149,3 +149,21 @@ def malformed_split(spark, sf_dir):
     )
     bodies = read(spark, sf_dir, "documents").select("doc_id", body.alias("value"))
     return parse(bodies, "logs").select("doc_id", F.col("malformed").cast("int").alias("malformed"))
+
+
+BODY = """'{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":{"intValue":' || n_chars || '}}]}]}]}'"""
+
+
+@query(f"""
+WITH b AS (
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {BODY} WHEN 1 THEN {BODY} || '],"x":[{{}}'
+    WHEN 2 THEN {BODY} || '],"bodies":[' || {BODY} ELSE {BODY} || ',' || {BODY} END AS body FROM documents
+)
+SELECT doc_id, CASE WHEN json_valid(body) THEN 0 ELSE 1 END AS malformed FROM b""")
+def malformed_joined(spark, sf_dir):
+    """Bodies that are valid only as parts of a longer text."""
+    docs, kind = read(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    one = F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":{"intValue":'), F.col("n_chars"), F.lit("}}]}]}]}"))
+    body = F.when(kind == 0, one).when(kind == 1, F.concat(one, F.lit('],"x":[{}')))
+    body = body.when(kind == 2, F.concat(one, F.lit('],"bodies":['), one)).otherwise(F.concat(one, F.lit(","), one))
+    return parse(docs.select("doc_id", body.alias("value")), "logs").select("doc_id", F.col("malformed").cast("int").alias("malformed"))

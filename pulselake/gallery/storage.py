@@ -152,14 +152,13 @@ def stream_downsample(spark, sf_dir):
     return rows.select("name", F.unix_seconds("bucket").alias("bucket"), F.round("sum", 2).alias("sum"), "count")
 
 
-STREAM_RULES = [
-    rule_from_config({"name": "HighError", "dataSource": "metrics", "query": "__name__=error > 80",
-                      "duration": "5m", "severity": "critical"}),
-    AlertRule("ClickOfEight", "metrics", 300, "info", {"__name__": "click", "service.name": "user-8"}),
-]
+def _stream_rules(lookback_s: int) -> list[AlertRule]:
+    config = {"name": "HighError", "dataSource": "metrics", "query": "__name__=error > 80", "duration": f"{lookback_s}s"}
+    eight = {"__name__": "click", "service.name": "user-8"}
+    return [rule_from_config(config | {"severity": "critical"}), AlertRule("ClickOfEight", "metrics", lookback_s, "info", eight)]
 
 
-@query("""
+STREAM_ALERTS = """
 WITH ticks AS (
   SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 MINUTE)) AS tick
 ),
@@ -168,7 +167,7 @@ rules(rule_name, severity, name, person, threshold) AS (VALUES
 newest AS (
   SELECT rule_name, severity, threshold, tick, user_id, arg_max(value, ts) AS value
   FROM events JOIN rules ON event_type = name AND coalesce(person, user_id) = user_id
-  JOIN ticks ON ts >= tick - INTERVAL 5 MINUTE AND ts < tick
+  JOIN ticks ON ts >= tick - to_seconds({seconds}) AND ts < tick
   WHERE tick <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)
   GROUP BY ALL
 ),
@@ -179,12 +178,31 @@ states AS (
 ),
 edges AS (SELECT *, lag(tick) OVER (PARTITION BY rule_name ORDER BY tick) AS before FROM states)
 SELECT rule_name, severity, epoch_us(tick) // 60000000 AS tick, details FROM edges
-WHERE before IS NULL OR before < tick - INTERVAL 1 MINUTE""")
-def stream_alerts(spark, sf_dir):
-    """Alerts of a stream of points, from sliding windows and an edge detector with state per rule."""
+WHERE before IS NULL OR before < tick - INTERVAL 1 MINUTE"""
+
+
+def _stream_alerts(spark, sf_dir, lookback_s: int):
     use_state_store(spark)
     path, checkpoint = shared_folder(spark, "stream-alerts"), shared_folder(spark, "stream-alerts-checkpoint")
-    events = alert_stream(_point_stream(spark, sf_dir), STREAM_RULES)
+    events = alert_stream(_point_stream(spark, sf_dir), _stream_rules(lookback_s))
     _run(spark, events, path, checkpoint)
     rows = spark.read.schema(events.schema).parquet(path)
     return rows.select("rule_name", "severity", (F.unix_seconds("tick") / 60).cast("bigint").alias("tick"), "details")
+
+
+@query(STREAM_ALERTS.format(seconds=300))
+def stream_alerts(spark, sf_dir):
+    """Alerts of a stream of points, from sliding windows and an edge detector with state per rule."""
+    return _stream_alerts(spark, sf_dir, 300)
+
+
+@query(STREAM_ALERTS.format(seconds=150))
+def stream_alerts_odd_lookback(spark, sf_dir):
+    """A lookback that is no multiple of a minute: windows still end on whole minutes."""
+    return _stream_alerts(spark, sf_dir, 150)
+
+
+@query(STREAM_ALERTS.format(seconds=30))
+def stream_alerts_short_lookback(spark, sf_dir):
+    """A lookback of half a minute: only rows near the end of a minute count."""
+    return _stream_alerts(spark, sf_dir, 30)

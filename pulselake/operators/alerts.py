@@ -1,8 +1,9 @@
 """Alert rules over metrics, logs and traces: every tick of a time range in one pass.
 
-A rule looks back from each whole minute over ``[tick - lookback, tick]``. Rows are not joined with ticks:
-rows of one rule (and series or trace) that count for the same ticks are first reduced to one, and only
-these are spread over their ticks. All rules of a source share one scan.
+A rule looks back from each whole minute over ``[tick - lookback, tick]``. Rows are not joined with ticks. For events,
+each row stands for the interval of ticks it counts for; intervals of a rule are merged in order, and a tick is made only
+where a merged one begins, so the work does not grow with the lookback. The states of every tick, for which rows that
+count for the same ticks are reduced to one and then spread, are a query of their own. All rules of a source share one scan.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulselake.functions.aggregates import latest
-from pulselake.functions.labels import label_match, label_match_map, selector
+from pulselake.functions.labels import label_match, label_match_map, selector_pairs
 from pulselake.functions.text import has_identity, log_text, trace_text
 from pulselake.functions.times import div, duration_seconds, in_range, instant, rfc3339, unix_nanos
 from pulselake.operators.series import NANOS, with_series_key
@@ -61,7 +62,10 @@ def rule_from_config(entry: dict) -> AlertRule:
     labels, text, threshold = {}, "", 0.0
     if entry["dataSource"] == "metrics":
         sides = query.split(">")
-        labels = selector(sides[0])
+        pairs = selector_pairs(sides[0])
+        labels = dict(pairs)
+        if any(labels[key] != value for key, value in pairs):
+            raise ValueError(f"rule {entry['name']}: one label with two values, which nothing can match")
         if len(sides) == 2:
             try:
                 threshold = float(sides[1].strip())
@@ -209,6 +213,65 @@ def trace_states(span_points: DataFrame, rules: list[AlertRule], start, end) ->
     )
 
 
+def _intervals(df: DataFrame, rules: list[AlertRule], start, end) -> DataFrame:
+    """Matching rows with the first and last tick they count for, both not yet cut to the range."""
+    longest, at = max(r.lookback_s for r in rules), F.col("time_unix_nano")
+    lookback = of_rule([r.lookback_s * NANOS for r in rules])
+    return (
+        match_rules(in_range(df, instant(start) - timedelta(seconds=longest), end), rules)
+        .withColumn("_from", div(at + (TICK_NANOS - 1), TICK_NANOS))
+        .withColumn("_to", div(at + lookback, TICK_NANOS))
+        .where("_from <= _to")
+    )
+
+
+def _cut(rows: DataFrame, start, end) -> DataFrame:
+    """The intervals within the ticks of the range."""
+    first, last = -(-unix_nanos(start) // TICK_NANOS), unix_nanos(end) // TICK_NANOS
+    cut = rows.withColumn("_from", F.greatest("_from", F.lit(first))).withColumn("_to", F.least("_to", F.lit(last)))
+    return cut.where("_from <= _to")
+
+
+def _begins(by_start: DataFrame) -> DataFrame:
+    """Of (rule, _from, _to, ...), a row for each rule and first tick, those that no earlier interval reaches or touches.
+
+    What counts for the tick at which a merged interval begins, begins there.
+    """
+    before = F.max("_to").over(Window.partitionBy("rule").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1))
+    return by_start.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") < F.col("_from") - 1))
+
+
+def metric_edges(points: DataFrame, rules: list[AlertRule], start, end) -> DataFrame:
+    """Ticks at which metric rules turn active.
+
+    Of a series only the newest row of each minute counts; it does until its lookback ends or a newer one comes.
+    """
+    rows = _intervals(with_series_key(points), rules, start, end)
+    panes = rows.groupBy("rule", "series_key", "_from").agg(
+        latest().alias("value"), F.max_by("_to", "time_unix_nano").alias("_to")
+    )
+    newer = F.lead("_from").over(Window.partitionBy("rule", "series_key").orderBy("_from"))
+    threshold = of_rule([float(r.threshold) for r in rules])
+    high = panes.withColumn("_to", F.least("_to", newer - 1)).where(F.col("value") > threshold)
+    by_start = _cut(high, start, end).groupBy("rule", "_from").agg(F.max("_to").alias("_to"), F.max("value").alias("value"))
+    return _begins(by_start).select("rule", F.col("_from").alias("tick"), metric_details(F.col("value"), threshold).alias("details"))
+
+
+def log_edges(logs: DataFrame, rules: list[AlertRule], start, end) -> DataFrame:
+    """Ticks at which log rules turn active."""
+    rows = _cut(_intervals(logs, rules, start, end), start, end)
+    by_start = rows.groupBy("rule", "_from").agg(F.max("_to").alias("_to"), F.count(F.lit(1)).alias("n"))
+    return _begins(by_start).select("rule", F.col("_from").alias("tick"), found_details(F.col("n"), "logs").alias("details"))
+
+
+def trace_edges(span_points: DataFrame, rules: list[AlertRule], start, end) -> DataFrame:
+    """Ticks at which trace rules turn active."""
+    rows = _cut(_intervals(span_points, rules, start, end), start, end)
+    traces = rows.groupBy("rule", "_from", "trace_id").agg(F.max("_to").alias("_to"))
+    by_start = traces.groupBy("rule", "_from").agg(F.max("_to").alias("_to"), F.count(F.lit(1)).alias("n"))
+    return _begins(by_start).select("rule", F.col("_from").alias("tick"), found_details(F.col("n"), "traces").alias("details"))
+
+
 def metric_details(value: Column, threshold: Column) -> Column:
     return F.format_string(METRIC_DETAILS, value, threshold)
 
@@ -251,7 +314,7 @@ def to_events(rows: DataFrame, rules: list[AlertRule], template: str = DEFAULT_T
 
 
 EVENTS = "rule_name string, severity string, tick timestamp, details string, body string"
-STATES = {"metrics": metric_states, "logs": log_states, "traces": trace_states}
+EDGES = {"metrics": metric_edges, "logs": log_edges, "traces": trace_edges}
 
 
 def evaluate(
@@ -263,10 +326,10 @@ def evaluate(
     """
     start, end = instant(start), instant(end)
     parts = []
-    for source, states in STATES.items():
+    for source, edges in EDGES.items():
         mine = [r for r in rules if r.data_source == source]
         if mine:
-            parts.append(to_events(new_alerts(states(tables[source], mine, start, end)), mine, template))
+            parts.append(to_events(edges(tables[source], mine, start, end), mine, template))
     if not parts:
         return SparkSession.active().createDataFrame([], EVENTS)
     return reduce(DataFrame.unionByName, parts)

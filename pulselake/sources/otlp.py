@@ -26,7 +26,8 @@ def parse(bodies: DataFrame, signal: str, column: str = "value") -> DataFrame:
     """Adds ``request`` (NULL where the body cannot be decoded) and ``malformed``.
 
     ``signal`` is metrics, logs or traces. A body counts as malformed when it is no JSON, has a value of
-    the wrong kind, is no JSON object, or when anything but white space follows the object.
+    the wrong kind, is no JSON object, or when anything but white space follows the object, be it a text that would
+    close the list the body is parsed in and open another.
     """
     whole = T.StructType(
         [T.StructField("bodies", T.ArrayType(REQUESTS[signal])), T.StructField(CORRUPT, T.StringType(), True)]
@@ -39,7 +40,8 @@ def parse(bodies: DataFrame, signal: str, column: str = "value") -> DataFrame:
     listed = F.concat(F.lit('{"bodies":['), body, F.lit("]}"))
     parsed = bodies.withColumn("request", F.explode(F.array(F.from_json(listed, whole, options))))
     one = (F.size("request.bodies") == 1) & F.get("request.bodies", F.lit(0)).isNotNull()
-    good = one & F.col(f"request.{CORRUPT}").isNull() & body.rlike(r"^[ \t\r\n]*\{")
+    alone = F.json_object_keys(listed) == F.array(F.lit("bodies"))
+    good = one & F.col(f"request.{CORRUPT}").isNull() & F.startswith(F.ltrim(body, F.lit(" \t\r\n")), F.lit("{")) & alone
     return parsed.withColumn("malformed", ~F.coalesce(good, F.lit(False))).withColumn(
         "request", F.get("request.bodies", F.lit(0))
     )

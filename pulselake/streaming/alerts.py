@@ -27,7 +27,7 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 def states(stream: DataFrame, rules: list[AlertRule], delay: str = DELAY) -> DataFrame:
-    """Triggered ticks of rules of one source and one lookback, from sliding windows ``[tick - lookback, tick)``.
+    """Triggered ticks of rules of one source and one lookback of a second or more, from windows ``[tick - lookback, tick)``.
 
     Rows later than the watermark still belong to the table, they only miss their alert window.
     """
@@ -36,8 +36,12 @@ def states(stream: DataFrame, rules: list[AlertRule], delay: str = DELAY) -> Dat
         raise ValueError("rules of one stream must share source and lookback")
     if source == "metrics":
         stream = with_series_key(stream)
-    window = F.window("ts", f"{lookback} seconds", f"{TICK_SECONDS} seconds").alias("window")
     matched = match_rules(stream.withWatermark("ts", delay), rules, watermarked="ts")
+    if lookback < TICK_SECONDS:  # windows of a minute, of which only the end counts
+        window = F.window("ts", f"{TICK_SECONDS} seconds").alias("window")
+        matched = matched.where(F.pmod(F.unix_micros("ts"), F.lit(TICK_SECONDS * 10**6)) >= (TICK_SECONDS - lookback) * 10**6)
+    else:  # windows that end on whole minutes
+        window = F.window("ts", f"{lookback} seconds", f"{TICK_SECONDS} seconds", f"{-lookback % TICK_SECONDS} seconds").alias("window")
     if source == "metrics":
         threshold = of_rule([float(r.threshold) for r in rules])
         per_series = matched.groupBy(window, "rule", "series_key").agg(latest().alias("value"))
@@ -86,11 +90,13 @@ def alert_stream(
 ) -> DataFrame:
     """Stream of ``alert_events`` for rules of one source and lookback; write it in append mode.
 
-    The detector sees at most one row per rule and minute, whatever the volume of the stream.
+    The detector sees at most one row per rule and minute, whatever the volume of the stream. Its state belongs to the
+    rule's name, so rules can be listed in another order, added or removed between two runs.
     """
     edges = (
         states(stream, rules, delay)
-        .groupBy("rule")
+        .withColumn("rule_name", of_rule([r.name for r in rules]))
+        .groupBy("rule_name")
         .transformWithStateInPandas(
             EdgeDetector(), "rule int, tick bigint, details string", outputMode="Append", timeMode="None"
         )
