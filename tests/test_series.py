@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulselake.functions.aggregates import named_aggregates, percentile_estimate
 from pulselake.operators.dedup import keep_last
+from pulselake.operators import distribution
 from pulselake.operators.distribution import histogram, percentile
 from pulselake.operators.panels import first_of_selectors
 from pulselake.operators.rate import rate
@@ -156,6 +157,26 @@ def test_percentile_of_everything(spark):
     assert (row.n, row.percentile) == (10_001, 9501.0)
 
 
+@pytest.mark.parametrize(
+    "value",
+    ["id", "7", "id % 3", "-id", "exp(id / 500)", "CASE WHEN id % 2 = 0 THEN 1e300 ELSE -1e300 END + id", "pow(-1, id) * exp(id / 900)"],
+)
+def test_percentile_narrows_its_bounds(spark, monkeypatch, value):
+    monkeypatch.setattr(distribution, "MOST_VALUES", 10)
+    monkeypatch.setattr(distribution, "SPLITS", 16)
+    df = spark.range(200_000 if "exp" not in value else 100_000).selectExpr(f"CAST({value} AS DOUBLE) AS value", "id % 3 AS g")
+    values = df.toPandas()
+    (row,) = percentile(df, [], 95, accuracy=100).collect()
+    assert row.percentile == pytest.approx(exact_percentile(values["value"].tolist(), 95), rel=1e-12)
+    for r in percentile(df, ["g"], 0.1, accuracy=100).collect():
+        assert r.percentile == pytest.approx(exact_percentile(values["value"][values["g"] == r.g].tolist(), 0.1), rel=1e-9)
+
+
+def test_percentile_of_no_rows(spark):
+    none = spark.range(0).selectExpr("CAST(id AS DOUBLE) AS value", "id AS g")
+    assert percentile(none, ["g"], 95).collect() == []
+
+
 def test_percentile_estimate(spark):
     df = spark.range(1, 10_002).select(F.col("id").cast("double").alias("value"))
     assert abs(df.agg(percentile_estimate(95)).first()[0] - 9501) <= 2
