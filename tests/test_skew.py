@@ -4,7 +4,7 @@ import pytest
 from helpers import BASE_NANOS, SECOND, iso
 from pyspark.sql import functions as F
 
-from pulselake.operators.alerts import AlertRule, evaluate
+from pulselake.operators.alerts import AlertRule, evaluate, metric_states
 from pulselake.operators.distribution import percentile
 from pulselake.operators.rate import rate
 from pulselake.operators.series import downsample, latest_values, matrix
@@ -55,11 +55,19 @@ def test_groups_are_combined_before_the_shuffle(hot):
 
 
 def test_alert_rows_are_reduced_before_they_are_spread(hot):
-    events = evaluate({"metrics": hot}, [AlertRule("r", "metrics", 300, selector={"__name__": "cpu"}, threshold=990.0)],
-                      iso(0), iso(4000))
-    text = events._jdf.queryExecution().executedPlan().toString()
+    rules = [AlertRule("r", "metrics", 300, selector={"__name__": "cpu"}, threshold=990.0)]
+    states = metric_states(hot, rules, iso(0), iso(4000))
+    text = states._jdf.queryExecution().executedPlan().toString()
     spread = text.index("explode(sequence(")
     assert text.index("partial_max_by", spread) > spread  # planned below, so run before
+    assert states.count() >= 1
+
+
+def test_alert_events_make_no_row_for_each_tick(hot):
+    rules = [AlertRule("r", "metrics", 86_400, selector={"__name__": "cpu"}, threshold=990.0)]
+    events = evaluate({"metrics": hot}, rules, iso(0), iso(4000))
+    text = events._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(" not in text and "partial_max_by" in text
     assert events.count() >= 1
 
 
