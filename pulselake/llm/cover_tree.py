@@ -2,14 +2,17 @@
 
 Vectors are dealt into cells around pivots and cells into blocks of a bounded number of rows, so a block is a ball. A block
 holds a cover tree of its vectors and one of the queries among them. A node is a centre, one of its vectors, with the
-radius that covers all below it; children halve the radius. Nodes of few rows are leaves, as are nodes whose cover would
-have a child for every few rows, as in many dimensions without clusters. For a query node with centre q and radius a
-and a data node with centre p and radius b no score exceeds <q, p> + a|p| + b|q| + ab; the pair is pruned if that is below
-the worst k-th score of the queries below the query node. The others are split on the larger side, and at two leaves
-all scores are one matrix product.
+radius that covers all below it. Its children are centres taken farthest first, the node's own before others, until half
+its radius covers all rows or there are ``CHILDREN`` of them; each row goes to the nearest. So children lie apart by at least
+what covers the rows, whatever that scale is: with clusters a level halves the radius, without them it shrinks as far
+as so many children can make it. Nodes of few rows, or of copies of one vector, are leaves. For a query node with centre q and
+radius a and a data node with centre p and radius b no score exceeds <q, p> + a|p| + b|q| + ab; the pair is pruned if that is
+below the worst k-th score of the queries below the query node. The others are split on the larger side; a leaf of queries
+meets those leaves of a data node that are left in one matrix product.
 
 Queries meet the block they come from first. Its results bound what is left: a block of queries is sent to another
-block only if the bound of the two roots reaches its worst k-th score. Scores are integers, and a bound carries a margin for
+block only if the bound of the two roots reaches its worst k-th score. There a portion of all queries, of bounded size, meets
+the block's tree, so that the block is sent once for many blocks of queries. Scores are integers, and a bound carries a margin for
 rounding, so results are exact; of equal scores the smaller id comes first.
 
 Vectors that are null, empty or hold a null or a non-finite component take no part, nor do rows with a null id. All vectors must
@@ -28,8 +31,11 @@ from pulselake.llm.common import Kept, table, written
 BLOCK_ROWS = 8192
 CELL_ROWS = 4096
 MAX_PIVOTS = 4096
-# Rows of a leaf, and rows that a child must have on average: leaves of queries are small, so that bounds stay narrow.
-DATA_NODES, QUERY_NODES = (48, 8), (4, 1)
+# Rows of a leaf, of data and of queries, and children of a node.
+DATA_LEAF, QUERY_LEAF = 48, 16
+CHILDREN = 16
+# Queries that meet a block in one task, on average.
+PORTION_QUERIES = 16_384
 NOTHING = -(1 << 62)
 SUMMARY_ROWS = 200_000
 
@@ -45,7 +51,7 @@ class CoverTree:
         self.norm = np.sqrt((self.centre**2).sum(axis=1))
 
 
-def grow(points: np.ndarray, leaf: int = DATA_NODES[0], rows_per_child: int = DATA_NODES[1]) -> tuple[CoverTree, np.ndarray]:
+def grow(points: np.ndarray, leaf: int = DATA_LEAF, most: int = CHILDREN) -> tuple[CoverTree, np.ndarray]:
     """The tree of the points, and the order of its rows."""
     order, nodes = np.arange(len(points)), []
     square = (points**2).sum(axis=1)
@@ -62,22 +68,22 @@ def grow(points: np.ndarray, leaf: int = DATA_NODES[0], rows_per_child: int = DA
         at, reach, lo, hi = nodes[me][:4]
         if hi - lo <= leaf or reach == 0:
             continue
-        rows, parts = order[lo:hi].copy(), []
-        while len(rows) and len(parts) <= (hi - lo) // rows_per_child:
-            away = distances(rows, at)
-            inside = away <= reach / 2
-            inside |= rows == at
-            parts.append((at, rows[inside], float(away[inside].max())))
-            rows, away = rows[~inside], away[~inside]
-            if len(rows):  # the next centre is the point farthest from this one
-                at = int(rows[away.argmax()])
-        if len(rows):
-            continue
-        nodes[me][4:] = len(nodes), len(parts)
-        for at, own, reach in parts:
+        rows = order[lo:hi].copy()
+        centres, nearest, away = [at], np.zeros(len(rows), np.int64), distances(rows, at)
+        while len(centres) < most and away.max() > reach / 2:
+            at = int(rows[away.argmax()])  # the next centre is the row farthest from all centres
+            there = distances(rows, at)
+            there[rows == at] = 0
+            closer = there < away
+            nearest[closer], away[closer] = len(centres), there[closer]
+            centres.append(at)
+        nodes[me][4:] = len(nodes), len(centres)
+        for i, at in enumerate(centres):
+            mine = nearest == i
+            own = rows[mine]
             order[lo : lo + len(own)] = own
             stack.append(len(nodes))
-            nodes.append([at, reach, lo, lo + len(own), 0, 0])
+            nodes.append([at, float(away[mine].max()), lo, lo + len(own), 0, 0])
             lo += len(own)
     place = np.empty(len(points), np.int64)
     place[order] = np.arange(len(points))
@@ -136,23 +142,35 @@ def search(q: CoverTree, query_ids: np.ndarray, p: CoverTree, ids: np.ndarray, b
         return 0
     computed = 0
     stack = [(0, 0, float("inf"))]
+
+    def meet(own: slice, nodes: np.ndarray) -> int:
+        """All scores of a query leaf's rows with those of data leaves."""
+        other = np.concatenate([np.arange(p.begin[b], p.end[b]) for b in nodes.tolist()])
+        scores = products(q.rows[own], p.rows[other])
+        size = scores.size
+        scores[query_ids[own, None] == ids[None, other]] = NOTHING
+        best.offer(np.arange(own.start, own.stop), scores, ids[other])
+        return size
+
     while stack:
         a, b, bound = stack.pop()
         own = slice(q.begin[a], q.end[a])
         if bound < best.scores[own, -1].min():
             continue
         if not q.children[a] and not p.children[b]:
-            other = slice(p.begin[b], p.end[b])
-            scores = products(q.rows[own], p.rows[other])
-            computed += scores.size
-            scores[query_ids[own, None] == ids[None, other]] = NOTHING
-            best.offer(np.arange(own.start, own.stop), scores, ids[other])
+            computed += meet(own, np.array([b]))
             continue
         split_query = q.children[a] and (not p.children[b] or q.radius[a] >= p.radius[b])
         first, count = (q.child[a], q.children[a]) if split_query else (p.child[b], p.children[b])
         kids = np.arange(first, first + count)
         one, two = (kids, np.full(count, b)) if split_query else (np.full(count, a), kids)
         bounds = _bound(q, one, p, two)
+        if not q.children[a]:
+            leaves = p.children[kids] == 0
+            left = kids[leaves & (bounds >= best.scores[own, -1].min())]
+            if len(left):
+                computed += meet(own, left)
+            one, two, bounds = one[~leaves], two[~leaves], bounds[~leaves]
         for i in np.argsort(bounds, kind="stable"):  # the most promising pair is taken next
             stack.append((int(one[i]), int(two[i]), float(bounds[i])))
     return computed
@@ -206,7 +224,7 @@ def top_k(rows: DataFrame, k: int) -> DataFrame:
         points = _matrix(group["vector"].chunk(0), size)
         tree, order = grow(points)
         asked = group["is_query"].to_numpy(zero_copy_only=False).astype(bool)
-        queries, query_order = grow(points[asked], *QUERY_NODES)
+        queries, query_order = grow(points[asked], QUERY_LEAF)
         query_ids, ids = ids[asked][query_order], ids[order]
         best = Best(len(query_ids), k)
         search(queries, query_ids, tree, ids, best)
@@ -233,21 +251,31 @@ def top_k(rows: DataFrame, k: int) -> DataFrame:
     # Which blocks can hold something better: roots only. Both sides have a row for each block.
     roots = index.select(F.col("block").alias("target"), F.col("centre").alias("p"), F.col("radius").alias("b"))
     targets = _reach(asking.select("home", "query_centre", "query_radius", "least"), roots)
-    pairs = targets.join(asking, "home").join(index.select(F.col("block").alias("target"), "ids", "vectors", "nodes"), "target")
-
-    def other_block(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda c: batch[c][i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                part = lambda rows, nodes: CoverTree(get(rows).reshape(-1, size).astype(np.float64), get(nodes).reshape(-1, 6))  # noqa: B023, E731
-                queries, tree, query_ids, floor = part("queries", "query_nodes"), part("vectors", "nodes"), get("query_ids"), get("worst")
+    # A portion of the homes meets a block's tree in one task: homes are spread by hash over portions of bounded size.
+    queries = asking.agg(F.sum(F.size("query_ids"))).first()[0] or 0
+    portion = F.pmod(F.xxhash64("home"), F.lit(-(-queries // PORTION_QUERIES) or 1)).alias("portion")
+    pairs = written(targets.select("home", "target", portion), "block-pairs")
+    asks = pairs.join(asking.select("home", "query_ids", "queries", "query_nodes", "worst"), "home").drop("home")
+    wanted = pairs.select(F.col("target").alias("block"), F.col("portion").alias("part")).distinct()
+    trees = wanted.join(index.select("block", "ids", "vectors", "nodes"), "block")
+
+    def other_block(homes: pa.Table, blocks: pa.Table) -> pa.Table:
+        """The queries of several blocks, block after block, against one block's tree."""
+        get = lambda t, c, i=0: t[c][i].values.to_numpy(zero_copy_only=False)
+        part = lambda t, rows, nodes, i=0: CoverTree(get(t, rows, i).reshape(-1, size).astype(np.float64), get(t, nodes, i).reshape(-1, 6))
+        got: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+        if homes.num_rows and blocks.num_rows:
+            tree, ids = part(blocks, "vectors", "nodes"), get(blocks, "ids")
+            for i in range(homes.num_rows):
+                query_ids, floor = get(homes, "query_ids", i), get(homes, "worst", i)
                 best = Best(len(query_ids), k)
                 best.scores[:] = floor[:, None]  # placeholders without an id: only what reaches the k-th score of the own block counts
-                search(queries, query_ids, tree, get("ids"), best)
-                q, v, s = found(best, query_ids)
-                yield pa.record_batch([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+                search(part(homes, "queries", "query_nodes", i), query_ids, tree, ids, best)
+                got.append(found(best, query_ids))
+        q, v, s = (pa.array(np.concatenate(values), pa.int64()) for values in zip(*got))
+        return pa.table({"query_id": q, "vec_id": v, "score": s})
 
-    there = pairs.select("query_ids", "queries", "query_nodes", "worst", "ids", "vectors", "nodes").mapInArrow(other_block, out)
+    there = asks.groupBy("target", "portion").cogroup(trees.groupBy("block", "part")).applyInArrow(other_block, out)
     here = index.select(F.explode(F.arrays_zip("found_query", "found_id", "found_score")).alias("f")).select(
         F.col("f.found_query").alias("query_id"), F.col("f.found_id").alias("vec_id"), F.col("f.found_score").alias("score")
     )

@@ -137,7 +137,7 @@ def test_cover_tree_prunes_clusters():
     rng = np.random.default_rng(7)
     points = (np.repeat(rng.normal(0, 400, (30, 8)), 60, axis=0) + rng.normal(0, 3, (1800, 8))).round()
     tree, order = cover_tree.grow(points)
-    queries, query_order = cover_tree.grow(points[::90], *cover_tree.QUERY_NODES)
+    queries, query_order = cover_tree.grow(points[::90], 4)
     for at, reach, low, high, _, _ in tree.nodes:
         below = tree.rows[int(low) : int(high)]
         assert np.sqrt(((below - tree.rows[int(at)]) ** 2).sum(axis=1)).max() <= reach + 1e-6
@@ -149,6 +149,47 @@ def test_cover_tree_prunes_clusters():
     assert all((row[row != o][-1] >= b[-1]) for row, o, b in zip(scores, own, best.scores))
 
 
+def test_cover_tree_reaches_its_leaves_without_clusters():
+    rng = np.random.default_rng(8)
+    points = (256 * rng.normal(0, 1, (3000, 64)) / 8).round()
+    points[500:900] = points[3]
+    tree, order = cover_tree.grow(points)
+    assert sorted(order.tolist()) == list(range(3000)) and np.array_equal(tree.rows, points[order])
+    assert len(tree.nodes) > 60
+    for i in range(len(tree.nodes)):
+        below = tree.rows[tree.begin[i] : tree.end[i]]
+        assert np.sqrt(((below - tree.centre[i]) ** 2).sum(axis=1)).max() <= tree.radius[i] + 1e-6
+        if not tree.children[i]:
+            assert len(below) <= cover_tree.DATA_LEAF or tree.radius[i] == 0
+            continue
+        kids = np.arange(tree.child[i], tree.child[i] + tree.children[i])
+        assert tree.begin[kids[0]] == tree.begin[i] and tree.end[kids[-1]] == tree.end[i]
+        assert np.array_equal(tree.begin[kids[1:]], tree.end[kids[:-1]])
+        apart = np.sqrt(((tree.centre[kids][:, None] - tree.centre[kids]) ** 2).sum(axis=2)) + 1e9 * np.eye(len(kids))
+        assert apart.min() >= tree.radius[kids].max() - 1e-6  # centres lie apart by what covers the rows
+    queries, query_order = cover_tree.grow(points[::50], cover_tree.QUERY_LEAF)
+    best = cover_tree.Best(60, 5)
+    cover_tree.search(queries, np.arange(0, 3000, 50)[query_order], tree, order, best)
+    for q, scores, ids in zip(np.arange(0, 3000, 50)[query_order].tolist(), best.scores.tolist(), best.ids.tolist()):
+        ranked = sorted((-int(points[q] @ points[i]), i) for i in range(3000) if i != q)[:5]
+        assert list(zip(scores, ids)) == [(-s, i) for s, i in ranked]
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Portions of a few queries and blocks of a few rows give the same rows."""
+    monkeypatch.setattr(cover_tree, "PORTION_QUERIES", 10)
+    monkeypatch.setattr(cover_tree.blocks, "__defaults__", (60, 90))
+    rng = np.random.default_rng(9)
+    points = rng.integers(-300, 300, (600, 5))
+    rows = spark.createDataFrame([(i, [int(x) for x in p], i % 7 == 0) for i, p in enumerate(points)], "id bigint, vector array<bigint>, is_query boolean")
+    got = [tuple(r) for r in cover_tree.top_k(rows, 4).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in range(0, 600, 7):
+        ranked = sorted((-int(points[q] @ points[i]), i) for i in range(600) if i != q)[:4]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(ranked, 1)]
+    assert got == want
+
+
 def test_decontamination_odd_rows(docs, spark):
     item = "Alpha beta, gamma delta; epsilon zeta eta theta iota kappa lambda"
     texts = [None, "", "x " + item.upper() + " y", "alpha beta gamma delta epsilon zeta eta theta iota", "short one", "a short-one b", item + " " + item, "p " * 40000 + item]
