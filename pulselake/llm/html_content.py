@@ -9,9 +9,10 @@ Weights are trained by gradient ascent on the likelihood of labelled pages, whos
 ``labelled_pages`` builds these pages, from layouts written here; others can be given.
 
 Text: character references are decoded, white space becomes one space within a block, blocks come in page order joined
-by a line feed. Scripts, styles and other raw or hidden elements are never text. Null, empty and blank html gives
+by a line feed. Scripts, styles, drawings, form controls and other raw or hidden elements are never text; what ``noscript`` and
+``object`` hold is a block like others, and formulas are text of their block. Null, empty and blank html gives
 an empty text. Broken markup is read as far as it goes: a new block ends an open paragraph, an unknown end tag is
-ignored. Rows are kept as they come, repeated ids and nulls included; extra columns are ignored.
+ignored. Reading takes time in proportion to the page, however deep it is. Rows are kept as they come, repeated ids and nulls included; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html as references
 import random
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,15 +36,16 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S,
 )
+OPEN_END = re.compile(r"<[!?].*\Z", re.S)  # all the markup there can be after the last ">"
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CONTENT_MARK = re.compile(r"\bdata-content=\"([01])\"")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 BLOCKS = set(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre"
-    " figure figcaption header footer nav aside form fieldset address details summary center".split()
+    " figure figcaption header footer nav aside form fieldset address details summary center noscript object".split()
 )
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "button", "object", "canvas", "head"}
+RAW = {"script", "style", "title", "textarea", "template", "iframe", "svg", "select", "button", "canvas", "head"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "embed", "area", "col", "track", "param", "base"}
 ENDS_PARAGRAPH = BLOCKS - {"html", "body"}
 ENDS_OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -81,7 +84,8 @@ class Page:
 
 def read_page(source: str) -> Page:
     page = Page(["html"], [-1], [0], [set()], [None], [0], [])
-    stack, texts, at, link, skip_until = [0], [], 0, False, None
+    stack, texts, at, link, open_head = [0], [], 0, False, False
+    places: dict[str, list[int]] = defaultdict(list)  # where the open elements of a tag are on the stack
 
     def end_segment() -> None:
         if texts:
@@ -99,23 +103,30 @@ def read_page(source: str) -> Page:
 
     def close(to: int) -> None:
         end_segment()
+        for node in stack[to:]:
+            places[page.tags[node]].pop()
         del stack[to:]
 
-    size = len(source)
+    def innermost(tags) -> int:
+        """The place of the last opened of these elements; 0 if none is open."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    size, tags_end = len(source), source.rfind(">") + 1
     while at < size:
-        found = MARKUP.search(source, at)
+        found = (MARKUP if at < tags_end else OPEN_END).search(source, at)
         if not found:
             take(source[at:])
             break
         take(source[at : found.start()])
         at = found.end()
-        if not found[2]:
+        if found.lastindex is None or not found[2]:
             continue
         ending, name = found[1], found[2].lower()
         if name in RAW:
-            if not ending and not found[3].rstrip().endswith("/"):
+            if not ending and not found[3].rstrip().endswith("/") and not (open_head and name == "head"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(source, at)
-                at = end.end() if name != "head" or end[0] else at  # an open head is left to its own elements
+                open_head = name == "head" and not end[0]  # an open head is left to its own elements
+                at = at if open_head else end.end()
             continue
         if name == "a":
             link = not ending
@@ -126,27 +137,22 @@ def read_page(source: str) -> Page:
         if name not in BLOCKS:
             continue
         if ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tags[stack[k]] == name:
-                    close(k)
-                    link = False
-                    break
-            else:
-                if name == "p":
-                    end_segment()
+            k = innermost([name])
+            if k:
+                close(k)
+                link = False
+            elif name == "p":
+                end_segment()
             continue
         if name == "html":
             continue
         end_segment()
         if name in ENDS_PARAGRAPH and page.tags[stack[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and len(stack) > 1:
-            del stack[-1:]
+            close(len(stack) - 1)
         if name in ENDS_OWN_KIND:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tags[stack[k]] in ENDS_OWN_KIND[name]:
-                    del stack[k:]
-                    break
-                if page.tags[stack[k]] in SCOPES:
-                    break
+            k = innermost(ENDS_OWN_KIND[name])
+            if k > innermost(SCOPES):
+                close(k)
         attributes = found[3]
         groups = set()
         if attributes:
@@ -163,6 +169,7 @@ def read_page(source: str) -> Page:
         page.marks.append(mark[1] if mark else None)
         page.links.append(0)
         if not attributes.rstrip().endswith("/"):
+            places[name].append(len(stack))
             stack.append(len(page.tags) - 1)
     end_segment()
     return page

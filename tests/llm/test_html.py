@@ -2,6 +2,9 @@
 
 import html
 import itertools
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -65,6 +68,62 @@ def test_long_and_deep_pages():
     assert found[1].count("\n") == 4999
 
 
+def naive_stack(events):
+    """Parents of the opened elements, by walking the whole stack for each event."""
+    stack, tags, parents = [0], ["html"], [-1]
+    for ending, name in events:
+        if ending:
+            for k in range(len(stack) - 1, 0, -1):
+                if tags[stack[k]] == name:
+                    del stack[k:]
+                    break
+            continue
+        if tags[stack[-1]] in ("p", "h2"):
+            stack.pop()
+        for k in range(len(stack) - 1, 0, -1):
+            if tags[stack[k]] in html_content.ENDS_OWN_KIND.get(name, ()):
+                del stack[k:]
+                break
+            if tags[stack[k]] in html_content.SCOPES:
+                break
+        tags.append(name)
+        parents.append(stack[-1])
+        stack.append(len(tags) - 1)
+    return tags, parents
+
+
+def test_tree_as_by_walking_the_stack():
+    rng = random.Random(5)
+    for _ in range(300):
+        events = [(rng.random() < 0.45, rng.choice(["div", "p", "li", "ul", "td", "tr", "table", "h2", "dd", "dt", "blockquote"])) for _ in range(60)]
+        page = html_content.read_page("".join(f"<{'/' * e}{n}>t" for e, n in events))
+        assert (page.tags, page.parents) == naive_stack(events)
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<div>" * 100_000 + "</p>" * 100_000, "<blockquote>" * 50_000 + "<li>a" * 50_000, "x<a" * 300_000, "<ul><li>" * 50_000 + "</td>" * 50_000],
+)
+def test_pages_are_read_in_linear_time(source):
+    before = time.process_time()
+    html_content.read_page(source)
+    assert time.process_time() - before < 5
+
+
+@pytest.mark.parametrize(
+    ("tail", "text"),
+    [("One <b", "One <b"), ("One <!-- two", "One"), ("One <!-- two > three", "One"), ("One <? x", "One"), ("a < b", "a < b"), ("One <![CDATA[ x > y ]] z", "One")],
+)
+def test_open_ends(tail, text):
+    assert " ".join(t for _, t in html_content.read_page("<p>" + tail).segments) == text
+
+
+def test_blocks_that_are_left_to_the_model():
+    long = "It was a long day, and it went on for many hours. Nobody left the house before the evening."
+    page = f"<article><h1>A day</h1><p>{long}</p><noscript><p>{long} Again.</p></noscript><p>{long} So <math><mi>x</mi> = 2</math>.</p><svg><text>no</text></svg></article>"
+    assert html_content.texts([page], MODEL) == [f"A day\n{long}\n{long} Again.\n{long} So x = 2."]
+
+
 def test_query(spark, sf, read):
     got = {r.page_id: r for r in QUERIES["op7_html_content"](spark, sf).collect()}
     pages = {r.page_id: r for r in read("pages").collect()}
@@ -73,6 +132,8 @@ def test_query(spark, sf, read):
         assert r.n_chars == len(r.text) and r.url == pages[i].url
         body = pages[i].html.split("<article>")[1].split("</article>")[0]
         assert r.text.startswith(html.unescape(body.split("<h1>")[1].split("</h1>")[0]).strip()[:40])
+        blocks = [html.unescape(re.sub(r"<script.*?</script>|<[^>]*>", " ", b, flags=re.S)) for b in re.split(r"</h1>|</p>", body)]
+        assert "".join(r.text.split()) == "".join("".join(blocks).split())
         assert "track(" not in r.text and "example.com &middot;" not in r.text
 
 
