@@ -109,6 +109,10 @@ class Best:
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """scores: rows x candidates."""
         k = self.scores.shape[1]
+        reaching = (scores >= self.scores[rows, -1:]).any(axis=0)  # for some query not below its k-th score
+        if not reaching.any():
+            return
+        scores, ids = scores[:, reaching], ids[reaching]
         all_scores = np.concatenate([self.scores[rows], scores], axis=1)
         all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], axis=1)
         if all_scores.shape[1] > 4 * k:  # what is below the k-th score goes first
