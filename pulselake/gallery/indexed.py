@@ -1,15 +1,17 @@
-"""Label filters and rules answered on the series index."""
+"""Label filters and rules answered on the series index, text searches on the trigram index."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from pulselake.gallery.registry import query
-from pulselake.gallery.tables import event_points
+from pulselake.gallery.tables import event_logs, event_points
 from pulselake.operators.series_index import (
     SeriesIndex, build_index, contains, equals, join_rules_by_index, matches, points_of, select_series, series_id,
 )
+from pulselake.operators.text_index import index_texts, search_indexed
 from pulselake.session import shared_folder
+from pulselake.sinks.tables import append
 
 K = "json_extract_string(props, '$.k')"
 
@@ -80,3 +82,14 @@ def index_rules(spark, sf_dir):
     return joined.groupBy("rule_name").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > F.col("threshold")).alias("high"), F.max("value").alias("greatest")
     )
+
+
+@query("""
+SELECT CAST(epoch_us(ts) * 1000 AS BIGINT) AS time_unix_nano, props AS message FROM events
+WHERE contains(lower(props), 'user-77') OR contains('user-' || user_id, 'user-77')""")
+def index_log_search(spark, sf_dir):
+    """A text search over the files that can hold the text."""
+    path = shared_folder(spark, "indexed-logs")
+    append(event_logs(spark, sf_dir).withColumn("dt", F.col("ts").cast("date")), path, "logs")
+    index_texts(spark, path, f"{path}-trigrams")
+    return search_indexed(spark, path, f"{path}-trigrams", "User-77").select("time_unix_nano", "message")

@@ -42,8 +42,11 @@ def _own_folder() -> str:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach, for written tables and stream checkpoints.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, is a temporary folder used.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Only on one machine may that be unset: then a
+    temporary folder is used. Executors elsewhere could not read it, so on a cluster it is an error.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None) or _own_folder()
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    if not named and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
+    base = named or _own_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

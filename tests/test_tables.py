@@ -98,3 +98,17 @@ def test_shared_folder_where_none_is_set():
 
     first, second = shared_folder(Session, "x"), shared_folder(Session, "x")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf(dict):
+        pass
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(spark_master="spark://host:7077"), "x")
+    assert shared_folder(Session(spark_master="spark://host:7077", spark_checkpoint_dir="hdfs://a/b/"), "x").startswith("hdfs://a/b/x-")
+    assert shared_folder(Session(spark_master="local[2]"), "x")
