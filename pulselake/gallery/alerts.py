@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pulselake.gallery.registry import query
 from pulselake.gallery.tables import event_logs, event_points, order_span_points
 from pulselake.operators.alerts import (
-    AlertRule, evaluate, join_rules, log_states, metric_states, new_alerts, rule_from_config, rule_table, valid_rules,
+    AlertRule, evaluate, join_rules, log_states, metric_states, new_alerts, rule_from_config, rule_table,
+    rules_from_config, valid_rules,
 )
-from pulselake.operators.panels import Panel, panel_table, panels_of_view
+from pulselake.operators.panels import Panel, find_panel, panel_table, panels_of_view
 from pulselake.plans.queries import panel_rows
+from pulselake.session import shared_folder
 
 START, END = "2024-01-05T00:00:00Z", "2024-01-12T00:00:00Z"
 
@@ -196,3 +198,44 @@ def panel_view(spark, sf_dir):
         ],
     )
     return counts.join(shown.select("title"), "title").select("title", "n")
+
+
+# A configuration file in the form that rules are read from.
+CONFIG = """{"alerts": {"rules": [
+  {"name": "HighError", "dataSource": "metrics", "query": "__name__=error > 80", "duration": "5m", "severity": "critical"},
+  {"name": "UserEight", "dataSource": "metrics", "query": "service.name=user-8", "duration": "90s", "severity": "info"},
+  {"name": "Unreadable", "dataSource": "metrics", "query": "__name__=view > much", "duration": "1h"},
+  {"name": "Words", "dataSource": "logs", "query": "K > 7", "duration": "10m", "severity": "warning"}]}}"""
+
+
+@query("""
+WITH r(rule_name, name, person, threshold, lookback_s, severity) AS (VALUES
+  ('HighError', 'error', NULL, 80.0, 300, 'critical'), ('UserEight', NULL, 8, 0.0, 90, 'info'), ('Unreadable', 'view', NULL, 0.0, 3600, ''))
+SELECT rule_name, lookback_s, coalesce(severity, '') AS severity, count(*) AS points, count(*) FILTER (WHERE value > threshold) AS high
+FROM r JOIN events ON event_type = coalesce(name, event_type) AND user_id = coalesce(person, user_id) GROUP BY ALL""")
+def rules_of_config(spark, sf_dir):
+    """Points that meet the rules of a configuration file, and those of them over the rule's threshold."""
+    path = shared_folder(spark, "config")
+    spark.createDataFrame([(CONFIG,)], "value string").coalesce(1).write.text(path)
+    rules = valid_rules(rule_table(spark, rules_from_config(spark, path)))
+    joined = join_rules(event_points(spark, sf_dir), rules)
+    return joined.groupBy("rule_name", F.col("lookback_s").cast("int").alias("lookback_s"), F.coalesce("severity", F.lit("")).alias("severity")).agg(
+        F.count(F.lit(1)).alias("points"), F.count_if(F.col("value") > F.col("threshold")).alias("high")
+    )
+
+
+@query("""
+SELECT 'Errors' AS wanted, count(*) AS n, max(value) AS greatest FROM events
+WHERE event_type = 'error' AND ts BETWEEN TIMESTAMP '2024-01-18' AND TIMESTAMP '2024-01-20 12:00:00'
+UNION ALL
+SELECT '3', count(*), max(value) FROM events
+WHERE ts BETWEEN TIMESTAMP '2024-01-20 11:55:00' AND TIMESTAMP '2024-01-20 12:00:00'""")
+def panel_lookup(spark, sf_dir):
+    """Panels found by title and by position, and what they show."""
+    tables, panels = {"metrics": event_points(spark, sf_dir)}, panel_table(spark, PANELS)
+    shown = []
+    for wanted in ("Errors", "3"):
+        p = find_panel(panels, wanted).first()
+        rows = panel_rows(tables, Panel(p.title, p.data_source, p["query"], p.refresh_interval, p.max_rows, p.type), NOW)
+        shown.append(rows.agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("greatest")).withColumn("wanted", F.lit(wanted)))
+    return reduce(DataFrame.unionByName, shown)

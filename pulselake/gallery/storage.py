@@ -10,7 +10,7 @@ from pulselake.gallery.tables import event_logs, event_points, gauge_requests, o
 from pulselake.operators.alerts import AlertRule, rule_from_config
 from pulselake.operators.series import with_series_key
 from pulselake.session import shared_folder, state_partitions
-from pulselake.sinks.tables import append, contract, unexpired, write_json
+from pulselake.sinks.tables import append, contract, retain_folder, unexpired, write_json
 from pulselake.sources.tables import read_table, scan
 from pulselake.streaming.alerts import alert_stream, use_state_store
 from pulselake.streaming.downsample import downsample_stream
@@ -80,6 +80,17 @@ def retention(spark, sf_dir):
     return unexpired(event_points(spark, sf_dir), "metrics", "2024-01-25T06:00:00Z", "7d").select("event_id", "value")
 
 
+@query("""
+SELECT CAST(epoch_us(ts) * 1000 AS BIGINT) AS time_unix_nano, event_type AS name, value FROM events
+WHERE ts >= TIMESTAMP '2024-01-25 06:00:00' - INTERVAL 7 DAY""")
+def retention_folder(spark, sf_dir):
+    """A table folder after the retention job."""
+    path = shared_folder(spark, "retained")
+    append(_dated(with_series_key(event_points(spark, sf_dir))), path, "metrics")
+    retain_folder(spark, path, "metrics", "2024-01-25T06:00:00Z", "7d")
+    return read_table(spark, path, "metrics").select("time_unix_nano", "name", "value")
+
+
 def _stream(spark, sf_dir, name):
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

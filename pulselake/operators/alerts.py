@@ -107,17 +107,22 @@ def valid_rules(rules: DataFrame) -> DataFrame:
 
 
 def join_rules(points: DataFrame, rules: DataFrame) -> DataFrame:
-    """Points with each metric rule of a rule table they match: equal name, then the rest of the selector.
+    """Points with each metric rule of a rule table they match.
 
-    Spark broadcasts the rule table if its measured size allows, and shuffles it otherwise.
+    A rule is posted under its metric name, else under the first label of its selector, else under nothing; a point is joined
+    with the rules posted under its own values of these labels, and the rest of the selector is checked then. Spark
+    broadcasts the rule table if its measured size allows, and shuffles it otherwise.
     """
-    rules = valid_rules(rules).where("data_source = 'metrics'").withColumn("_name", F.col("selector")["__name__"])
-    rules = rules.where(F.col("_name").isNotNull())
-    return (
-        points.join(rules, points["name"] == rules["_name"])
-        .where(label_match_map(F.col("selector"), F.col("labels")))
-        .drop("_name")
-    )
+    selector = F.col("selector")
+    label = F.when(selector["__name__"].isNotNull(), "__name__").otherwise(F.coalesce(F.array_min(F.map_keys(selector)), F.lit("")))
+    rules = valid_rules(rules).where("data_source = 'metrics'").withColumn("_label", label)
+    rules = rules.withColumn("_value", F.coalesce(selector[F.col("_label")], F.lit("")))
+    names = [r[0] for r in rules.select("_label").distinct().orderBy("_label").collect()]  # names of labels, not values
+    value = {"": F.lit(""), "__name__": F.col("name")}
+    own = [F.struct(F.lit(n).alias("_label"), value.get(n, F.col("labels")[n]).alias("_value")) for n in names or [""]]
+    met = points.select("*", F.explode(F.array(*own)).alias("_own")).select("*", "_own.*").drop("_own")
+    joined = met.where(F.col("_value").isNotNull()).join(rules, ["_label", "_value"])
+    return joined.where(label_match_map(selector, F.col("labels"))).drop("_label", "_value")
 
 
 def _condition(rule: AlertRule, columns: list[str]) -> Column:

@@ -46,7 +46,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     temporary folder is used. Executors elsewhere could not read it, so on a cluster it is an error.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
-    if not named and not spark.conf.get("spark.master", "").startswith("local"):
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
     base = named or _own_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

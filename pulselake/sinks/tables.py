@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,3 +118,42 @@ def retain(spark: SparkSession, table: str, signal: str, now: datetime | str, ke
         .parquet(location)
     )
     spark.catalog.refreshTable(table)
+
+
+def retain_folder(spark: SparkSession, path: str, signal: str, now: datetime | str, keep: str | None = None) -> None:
+    """As ``retain`` for a table folder that no catalog knows, such as ingest writes.
+
+    Folders of days before the cutoff are deleted unread. Of the cutoff's day each partition folder is judged by its own
+    rows: one without a row to keep is deleted, one of which all rows stay is left as it is, and only the others are
+    rewritten. It may be repeated after a failure. A folder of a stream's file sink is refused, as the sink's log names its
+    files.
+    """
+    limit = cutoff(signal, now, keep)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    root = Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(Path(root, "_spark_metadata")):
+        raise ValueError(f"{path} is kept by a stream's file sink")
+    day = limit.date().isoformat()
+    for found in files.globStatus(Path(root, "dt=*")):
+        if found.getPath().getName().removeprefix("dt=") < day:
+            files.delete(found.getPath(), True)
+    if not files.exists(Path(root, f"dt={day}")) or (limit.hour, limit.minute, limit.second, limit.microsecond) == (0, 0, 0, 0):
+        return
+    names = [f.name for f in TABLES[signal].fields]
+    table = spark.read.schema(TABLES[signal]).parquet(path).where(F.col("dt") == F.lit(limit.date()))
+    columns = ("dt", *[c for c in table.columns if c not in names])
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    rows = table.select("*", folder.alias("_folder"))
+    left = F.count_if(F.col("ts") >= F.lit(limit))
+    counts = rows.groupBy("_folder").agg(F.count(F.lit(1)).alias("n"), left.alias("left"))
+    judged = {r["_folder"]: r for r in counts.collect()}  # a row for each partition folder of the day
+    mixed = [f for f, r in judged.items() if 0 < r.left < r.n]
+    if mixed:
+        chosen = spark.createDataFrame([(f,) for f in mixed], "_folder string")
+        kept = unexpired(rows.join(F.broadcast(chosen), "_folder", "left_semi"), signal, now, keep)
+        out = writer(contract(kept, signal, columns[1:]), signal, columns).mode("overwrite")
+        out.option("partitionOverwriteMode", "dynamic").parquet(path)
+    for f, r in judged.items():
+        if not r.left:
+            files.delete(Path(unquote(f)), True)

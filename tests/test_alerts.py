@@ -152,3 +152,15 @@ def test_panel_rows(spark):
 def test_result_json(spark):
     df = points(spark, [(0, 1, {"k": "<a&b>"})]).select("value", "labels")
     assert result_json(df).first()[0] == '{"value":1.0,"labels":{"k":"<a&b>"}}'
+
+
+def test_rules_without_a_name_join_by_their_first_label(spark):
+    rows = points(spark, [(i, i, {"__name__": n, "host": h}) for i, (n, h) in enumerate([("cpu", "a"), ("cpu", "b"), ("mem", "a")])])
+    rows = rows.unionByName(points(spark, [(9, 9, {"__name__": "cpu"})]))
+    selectors = {"name": {"__name__": "cpu"}, "host": {"host": "a"}, "both": {"__name__": "cpu", "host": "a"}, "all": {}, "none": {"host": "z"},
+                 "two": {"host": "b", "zone": "x"}}
+    rules = rule_table(spark, [AlertRule(n, "metrics", 60, "info", s) for n, s in selectors.items()] + [AlertRule("log", "logs", 60, "info", text="x")])
+    got = sorted((r.rule_name, int(r.value)) for r in join_rules(rows, rules).collect())
+    assert got == [("all", 0), ("all", 1), ("all", 2), ("all", 9), ("both", 0), ("host", 0), ("host", 2), ("name", 0), ("name", 1), ("name", 9)]
+    assert join_rules(rows, rules.limit(0)).count() == 0
+    assert set(join_rules(rows, rules).columns) == set(rows.columns) | set(rules.columns)

@@ -1,12 +1,13 @@
 import glob
 
+import pytest
 from helpers import BASE, iso, points
 from pyspark.sql import functions as F
 
 from pulselake.operators.series import with_series_key
 from pulselake.schemas import POINTS
 from pulselake.session import CHECKPOINT_DIR, shared_folder
-from pulselake.sinks.tables import append, contract, cutoff, retain, save_as_table, unexpired, write_json
+from pulselake.sinks.tables import append, contract, cutoff, retain, retain_folder, save_as_table, unexpired, write_json
 from pulselake.sources.tables import read_table, scan
 
 
@@ -81,6 +82,41 @@ def test_retain_keeps_further_partition_columns(spark):
     spark.sql(f"DROP TABLE {table}")
 
 
+def test_retain_folder(spark, tmp_path):
+    path = str(tmp_path / "a table")
+    append(days(spark), path, "metrics")
+    rows = lambda: read_table(spark, path, "metrics")
+    every = rows().count()
+    for now, keep, least, n in [
+        ("2024-01-10T12:00:00Z", "2d", "2024-01-08 12:00:00", 10), ("2024-01-10T12:00:00Z", "2d", "2024-01-08 12:00:00", 10),
+        ("2024-01-11T00:00:00Z", "2d", "2024-01-09 00:00:00", 8), ("2024-01-11T23:00:00Z", "2d", "2024-01-10 00:00:00", 4),
+    ]:
+        retain_folder(spark, path, "metrics", now, keep)
+        assert (rows().count(), rows().agg(F.min("ts").cast("string")).first()[0]) == (n, least)
+    assert every == 40 and sorted(f.rsplit("/", 1)[1] for f in glob.glob(path + "/dt=*")) == ["dt=2024-01-10"]
+
+
+def test_retain_folder_judges_each_batch(spark, tmp_path):
+    """Batches of the cutoff's day: one expired, one kept as it is, one rewritten; a second signal's default keep."""
+    path = str(tmp_path / "ingested")
+    hour = F.hour("ts")
+    batch = F.when(hour < 6, "early-1").when(hour >= 18, "late-2").otherwise("mid-3")
+    df = contract(days(spark, 3, 24), "metrics").withColumn("ingest_batch", batch)
+    df.write.partitionBy("dt", "ingest_batch").parquet(path)
+    kept_as_is = glob.glob(path + "/dt=2024-01-02/ingest_batch=late-2/*.parquet")
+    retain_folder(spark, path, "metrics", "2024-01-04T09:00:00Z", "2d")
+    got = {(str(r.dt), r.ingest_batch): r.n for r in spark.read.parquet(path).groupBy("dt", "ingest_batch").agg(F.count("*").alias("n")).collect()}
+    assert got == {("2024-01-02", "mid-3"): 9, ("2024-01-02", "late-2"): 6, ("2024-01-03", "early-1"): 6, ("2024-01-03", "mid-3"): 12, ("2024-01-03", "late-2"): 6}
+    assert glob.glob(path + "/dt=2024-01-02/ingest_batch=late-2/*.parquet") == kept_as_is
+    assert not glob.glob(path + "/dt=2024-01-02/ingest_batch=early-1")
+
+
+def test_retain_folder_refuses_a_sink_with_a_log(spark, tmp_path):
+    (tmp_path / "_spark_metadata").mkdir()
+    with pytest.raises(ValueError, match="file sink"):
+        retain_folder(spark, str(tmp_path), "metrics", "2024-01-04T09:00:00Z")
+
+
 def test_json_sink(spark, tmp_path):
     write_json(days(spark, 1).select("name", "labels"), str(tmp_path / "json"))
     assert spark.read.text(str(tmp_path / "json")).where("value like '%\"labels\":{%'").count() == 4

@@ -10,7 +10,7 @@ from pulselake.operators import text_index as ti
 from pulselake.operators.logs import search
 from pulselake.sinks.tables import append
 from pulselake.sources.tables import read_table
-from tests.helpers import iso, logs
+from helpers import iso, logs
 
 DAY = 86_400
 
