@@ -1,4 +1,4 @@
-"""Label filters and rules answered on the series index, text searches on the trigram index."""
+"""Label filters and rules answered on the series index, text searches on the trigram index, steps of time on roll-ups."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pulselake.gallery.tables import event_logs, event_points
 from pulselake.operators.series_index import (
     SeriesIndex, build_index, contains, equals, join_rules_by_index, matches, points_of, select_series, series_id,
 )
+from pulselake.operators.rollup import rolled, write_rollups
 from pulselake.operators.text_index import index_texts, search_indexed
 from pulselake.session import shared_folder
 from pulselake.sinks.tables import append
@@ -93,3 +94,18 @@ def index_log_search(spark, sf_dir):
     append(event_logs(spark, sf_dir).withColumn("dt", F.col("ts").cast("date")), path, "logs")
     index_texts(spark, path, f"{path}-trigrams")
     return search_indexed(spark, path, f"{path}-trigrams", "User-77").select("time_unix_nano", "message")
+
+
+@query("""
+SELECT event_type AS name, CAST(epoch_us(date_trunc('day', ts)) // 1000000 AS BIGINT) AS bucket, round(avg(value), 9) AS avg,
+       min(value) AS min, max(value) AS max, round(sum(value), 2) AS sum, count(value) AS count, arg_max(value, ts) AS latest
+FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-19' GROUP BY 1, 2""")
+def rollup_1d(spark, sf_dir):
+    """Two weeks by day from the daily roll-up, which is made from the hourly one, and that from minutes; written in two batches."""
+    path, points = shared_folder(spark, "rollups"), event_points(spark, sf_dir)
+    for batch, part in (("even", points.where("event_id % 2 = 0")), ("odd", points.where("event_id % 2 <> 0"))):
+        write_rollups(part, path, batch, by=("name",))
+    rows = rolled(spark, path, 86_400, "2024-01-05T00:00:00Z", "2024-01-19T00:00:00Z", by=("name",))
+    return rows.select(
+        "name", F.unix_seconds("bucket").alias("bucket"), F.round("avg", 9).alias("avg"), "min", "max", F.round("sum", 2).alias("sum"), "count", "latest"
+    )
