@@ -84,6 +84,16 @@ def test_jaccard_join_different_texts_under_one_id(docs):
     assert got == [(1, 27, 1), (1, 27, 1), (2, 27, 2), (3, 28, 1), (4, 27, 1), (5, 1, 5)]
 
 
+def test_jaccard_join_query_links_rows_without_id(docs, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    left, middle, right = " ".join(words[:50]), " ".join(words[:54]), " ".join(words[4:54])
+    df = docs([right, middle, left, "a b", "A b", "c", "", middle], ids=[9, None, 4, None, 7, None, None, 30])
+    df.limit(7).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op10_jaccard_join"](df.sparkSession, str(tmp_path)).collect()
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str)
+    assert found == sorted([(9, 47, 4), (None, 51, 4), (4, 47, 4), (None, 1, 7), (7, 1, 7), (None, 1, None), (None, 0, None)], key=str)
+
+
 def test_jaccard_join_equal_slices_in_two_tasks(docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HOT_SETS", 3)
     base = [f"w{i}" for i in range(40)]
