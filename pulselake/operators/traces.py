@@ -104,8 +104,9 @@ def in_parts(rows: DataFrame, keys: list[str], counts: DataFrame, item, out: str
 
     The number of parts of a key follows from its exact count, and a row's part from a hash of its item,
     so no array grows with the group. A key with up to ``part_size`` rows has one part.
+    There may be as many keys as rows: Spark's estimate of rows made from text is too small, so broadcasting is ruled out.
     """
-    parts = counts.select(*keys, F.ceil(F.col("_n") / F.lit(part_size)).alias("_parts"))
+    parts = counts.select(*keys, F.ceil(F.col("_n") / F.lit(part_size)).alias("_parts")).hint("merge")
     placed = rows.join(parts, keys).select(*keys, item.alias("_item"), "_parts")
     return (
         placed.withColumn("part", F.pmod(F.xxhash64("_item"), F.col("_parts")).cast("int"))
