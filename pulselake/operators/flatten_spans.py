@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.functions.labels import attribute_entries, entry, label_map, merge_labels, no_entries, no_labels
+from pulselake.functions.labels import attribute_entries, entry, label_map, merge_labels, no_entries
 from pulselake.functions.times import div, ts_of_nanos
 from pulselake.functions.values import int64, span_kind_text
 from pulselake.schemas import SPAN_POINTS
 
+POINT_LABELS = ("event.name", "event.attr.key", "status.code", "status.message")
+
 
 def _point(
     kind: str,
     at: Column,
     value: Column,
-    labels: Column,
     event_name: Column | None = None,
     event_attr_key: Column | None = None,
     status_code: Column | None = None,
@@ -32,7 +33,6 @@ def _point(
         or_null(event_attr_key, "string").alias("event_attr_key"),
         or_null(status_code, "int").alias("status_code"),
         or_null(status_message, "string").alias("status_message"),
-        labels.alias("labels"),
     )
 
 
@@ -58,7 +58,6 @@ def _event_points(span: Column, start: Column) -> Column:
                 "event",
                 at,
                 a["value"],
-                F.create_map(F.lit("event.name"), name, F.lit("event.attr.key"), a["key"]),
                 event_name=name,
                 event_attr_key=a["key"],
             ),
@@ -69,6 +68,28 @@ def _event_points(span: Column, start: Column) -> Column:
     return F.coalesce(F.flatten(lists), F.array())
 
 
+def _has_point_labels(base: Column) -> Column:
+    """Whether a span's own labels have a name that a label of a point may have."""
+    return F.arrays_overlap(F.map_keys(base), F.array(*map(F.lit, POINT_LABELS)))
+
+
+def _point_labels(base: Column, clash: Column, point: Column) -> Column:
+    """The labels of a span and of its point; the point's win."""
+    name, key, code, message = (F.lit(label) for label in POINT_LABELS)
+    of_code = [code, point["status_code"].cast("string")]
+
+    def merged(*pairs: Column) -> Column:
+        own = F.create_map(*pairs)
+        return F.when(~clash, F.map_concat(base, own)).otherwise(merge_labels(base, own))
+
+    return (
+        F.when(point["point_type"] == "duration", base)
+        .when(point["point_type"] == "event", merged(name, point["event_name"], key, point["event_attr_key"]))
+        .when(point["status_message"] == "", merged(*of_code))
+        .otherwise(merged(*of_code, message, point["status_message"]))
+    )
+
+
 def flatten_spans(requests: DataFrame, stringify: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Span points of parsed requests (column ``request``).
 
@@ -90,17 +111,8 @@ def flatten_spans(requests: DataFrame, stringify: bool = False, keep: tuple[str,
     span = F.col("span")
     code = F.coalesce(span["status"]["code"], F.lit(0))
     message = F.coalesce(span["status"]["message"], F.lit(""))
-    status = _point(
-        "status",
-        F.col("end"),
-        code,
-        F.when(
-            message == "", F.create_map(F.lit("status.code"), code.cast("string"))
-        ).otherwise(F.create_map(F.lit("status.code"), code.cast("string"), F.lit("status.message"), message)),
-        status_code=code,
-        status_message=message,
-    )
-    duration = _point("duration", F.col("start"), div(F.col("end") - F.col("start"), 1000), no_labels())
+    status = _point("status", F.col("end"), code, status_code=code, status_message=message)
+    duration = _point("duration", F.col("start"), div(F.col("end") - F.col("start"), 1000))
     points = F.concat(F.array(duration), _event_points(span, F.col("start")), F.array(status))
 
     text = lambda field: F.coalesce(span[field], F.lit(""))
@@ -130,11 +142,12 @@ def flatten_spans(requests: DataFrame, stringify: bool = False, keep: tuple[str,
             no_entries()
         ),
     )
-    # The labels of a span are made once, before its points are listed.
+    # The labels of a span are made once, before its points are listed. A span always has points; explode would make
+    # the list a second time to test that.
     rows = (
         identified.select(*keep, *ids, base.alias("entries"), "points")
         .select(*keep, *ids, label_map(F.col("entries")).alias("base"), "points")
-        .select(*keep, *ids, "base", F.explode("points").alias("p"))
+        .select(*keep, *ids, "base", _has_point_labels(F.col("base")).alias("clash"), F.explode_outer("points").alias("p"))
     )
     ts = ts_of_nanos(F.col("p.time_unix_nano"))
     return rows.select(
@@ -148,6 +161,6 @@ def flatten_spans(requests: DataFrame, stringify: bool = False, keep: tuple[str,
         F.col("p.event_attr_key"),
         F.col("p.status_code"),
         F.col("p.status_message"),
-        merge_labels(F.col("base"), F.col("p.labels")).alias("labels"),
+        _point_labels(F.col("base"), F.col("clash"), F.col("p")).alias("labels"),
         ts.cast("date").alias("dt"),
     ).select(*keep, *[f.name for f in SPAN_POINTS.fields])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pulselake.operators.traces import nested_events, nested_spans, newest_traces, span_events, spans, traces
 from pulselake.plans.queries import matching_span_points, trace_details, trace_query
+from pulselake.streaming.ingest import flatten
 
 SCHEMA = (
     "time_unix_nano bigint, trace_id string, span_id string, parent_span_id string, service string, span_name string, "
@@ -107,3 +108,19 @@ def test_raw_points_are_shuffled_once_and_by_span(sample):
     text = plan(traces(spans(sample)))
     assert exchanges(traces(spans(sample))) == 2
     assert "partial_min" in text and "labels" not in text.split("Exchange hashpartitioning(trace_id")[1]
+
+
+def test_events_meet_their_counts_without_broadcast(sample):
+    assert "Broadcast" not in plan(nested_events(sample, spans(sample)))
+    assert "SortMergeJoin" in plan(nested_events(sample, spans(sample)))
+
+
+def test_points_of_a_span_are_made_once(spark):
+    """Spark tests a list before it is exploded by making it once more; a span always has points."""
+    body = '{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"t","spanId":"s","events":[{"name":"e","attributes":[{"key":"n","value":{"intValue":"3"}}]}]},{}]}]}]}'
+    bodies = spark.createDataFrame([(body,)], "value string")
+    rows = flatten(bodies, "traces")
+    text = plan(rows.select("span_id", "point_type", "event_name", F.col("labels")["event.name"].alias("l"))).split("== Initial Plan ==")[-1]
+    assert text.count("point_type, event") == 1
+    found = sorted((r.span_id, r.point_type, r.labels.get("event.name"), r.labels.get("span.id")) for r in rows.collect())
+    assert found == [("", "duration", None, ""), ("", "status", None, ""), ("s", "duration", None, "s"), ("s", "event", "e", "s"), ("s", "status", None, "s")]
