@@ -11,6 +11,9 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +34,44 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.zip_with(two, F.slice(one, 3, F.size(one)), join)))
 
 
-def _place(gram: str) -> list[Column]:
-    bit = F.pmod(F.xxhash64(gram), F.lit(BUCKETS * BUCKET_BITS))
+def _bit(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS * BUCKET_BITS)).cast("int")
+
+
+def _place(bit: Column) -> list[Column]:
     return [F.floor(bit / BUCKET_BITS).cast("int").alias("bucket"), (bit % BUCKET_BITS).cast("int").alias("position")]
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """(file, bucket, bits) of log rows that come straight from a scan; bitmaps are combined before the shuffle."""
+def file_bits(rows: DataFrame) -> DataFrame:
+    """(file, bit) of the trigrams of log rows that come straight from a scan; a task gives each bit of a file once.
+
+    The bitmaps are built from sorted rows, so what a task sorts must not grow with its rows. Tasks read one file after the
+    other and remember the bits of the last one.
+    """
     texts = F.concat(F.array("message"), F.coalesce(F.map_values("labels"), F.array().cast("array<string>")))
     each = rows.select(F.col("_metadata.file_path").alias("file"), F.explode(texts).alias("text"))
-    grams = each.select("file", F.explode(trigrams(F.col("text"))).alias("gram")).select("file", *_place("gram"))
+    listed = each.select("file", F.transform(trigrams(F.col("text")), _bit).alias("bits"))
+
+    def firsts(batches):
+        last, seen = None, np.zeros(0, bool)
+        for batch in batches:
+            bits, names = batch.column(1), batch.column(0).dictionary_encode()
+            owner = names.indices.to_numpy()[pc.list_parent_indices(bits).to_numpy()]
+            bits = pc.list_flatten(bits).to_numpy()
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                if name != last:
+                    last, seen = name, np.zeros(BUCKETS * BUCKET_BITS, bool)
+                own = np.unique(bits[owner == i])
+                new = own[~seen[own]]
+                seen[new] = True
+                yield pa.record_batch([pa.array([name] * len(new), pa.string()), pa.array(new, pa.int32())], names=["file", "bit"])
+
+    return listed.mapInArrow(firsts, "file string, bit int")
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """(file, bucket, bits) of log rows that come straight from a scan; bitmaps are combined before the shuffle."""
+    grams = file_bits(rows).select("file", *_place(F.col("bit")))
     return grams.groupBy("file", "bucket").agg(F.bitmap_construct_agg(F.col("position").cast("bigint")).alias("bits"))
 
 
@@ -85,7 +116,7 @@ def index_texts(spark: SparkSession, path: str, index_path: str) -> int:
 def files_with(marks: DataFrame, text: str) -> DataFrame:
     """(file): files whose signature has all trigrams of the text; all files if the text has none."""
     spark = marks.sparkSession
-    grams = spark.range(1).select(F.explode(trigrams(F.lit(text.lower()))).alias("gram")).select(*_place("gram")).distinct()
+    grams = spark.range(1).select(F.explode(trigrams(F.lit(text.lower()))).alias("gram")).select(*_place(_bit(F.col("gram")))).distinct()
     wanted = grams.collect()  # as many as the text has characters
     if not wanted:
         return marks.select("file").distinct()

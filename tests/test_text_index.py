@@ -85,3 +85,16 @@ def test_the_scan_reads_few_columns_and_combines_before_the_shuffle(spark, table
     plan = ti.signatures(read_table(spark, table[0], "logs"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<message:string,labels:map<string,string>>" in plan
     assert plan.count("Exchange ") == 1 and "partial_bitmap_construct_agg" in plan
+
+
+def test_a_task_gives_each_bit_of_a_file_once(spark, tmp_path):
+    messages = ["Request one failed", "request two failed", None, "ab", ""] * 400
+    df = logs(spark, [(i, "INFO", m, {"a": "user-7", "b": None}) for i, m in enumerate(messages)]).coalesce(1)
+    df.select("message", "labels").write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = [r.bit for r in ti.file_bits(spark.read.parquet(str(tmp_path / "t"))).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    grams = {t[i : i + 3] for t in ("request one failed", "request two failed", "user-7") for i in range(len(t) - 2)}
+    assert len(found) == len(set(found)) == len(grams)
