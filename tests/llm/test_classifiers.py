@@ -149,3 +149,18 @@ def test_toxicity_query(spark, sf):
     got = QUERIES["op6_toxicity"](spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+
+
+def test_toxicity_learns_and_sets_thresholds_from_all_labels(docs, spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(8)] + ["and", "the"] * 3 + (["nasty"] if i % 2 else [])) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(None, 1), (7, None), (9999, 0)], "doc_id bigint, label int")
+    seen = {}
+    refine, whole_cuts = toxicity.refine, toxicity.whole_cuts
+    monkeypatch.setattr(toxicity, "refine", lambda known, net: (seen.update(taught=known.count()), refine(known, net))[1])
+    monkeypatch.setattr(toxicity, "whole_cuts", lambda known, models: (seen.update(aside=known.count()), whole_cuts(known, models))[1])
+    df = docs(texts)
+    models = toxicity.train(df, labels, F.lit(True), samples=40)
+    assert seen["taught"] + seen["aside"] == 400 and seen["aside"] > 40
+    got = toxicity.score(df, models, ["doc_id"]).collect()
+    assert np.mean([(r.score >= toxicity.CUT) == (r.doc_id % 2 == 1) for r in got]) > 0.95
