@@ -164,3 +164,27 @@ def test_toxicity_learns_and_sets_thresholds_from_all_labels(docs, spark, monkey
     assert seen["taught"] + seen["aside"] == 400 and seen["aside"] > 40
     got = toxicity.score(df, models, ["doc_id"]).collect()
     assert np.mean([(r.score >= toxicity.CUT) == (r.doc_id % 2 == 1) for r in got]) > 0.95
+
+
+def test_toxicity_shuffles_no_texts_and_learns_the_same_whatever_the_join(docs, spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(8)] + ["and", "the"] * 3 + (["nasty"] if i % 2 else [])) for i in range(400)]
+    df, labels = docs([*texts, None, ""]), spark.createDataFrame([(i, i % 2) for i in range(402)], "doc_id bigint, label int")
+    plans, refine, whole_cuts = [], toxicity.refine, toxicity.whole_cuts
+    seen = lambda known: plans.append((known.columns, known._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(toxicity, "refine", lambda known, net: (seen(known), refine(known, net))[1])
+    monkeypatch.setattr(toxicity, "whole_cuts", lambda known, other: (seen(known), whole_cuts(known, other))[1])
+    nets = []
+    try:
+        for partitions, broadcast in ((8, "10MB"), (3, "-1")):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+            nets.append(toxicity.train(df, labels, F.lit(True), samples=40)[0])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 4
+    assert all("text" not in columns and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for columns, plan in plans)
+    one, other = nets
+    assert one.cuts == other.cuts and abs(one.bias - other.bias) < 1e-12
+    assert all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for a, b in zip(toxicity._flat(one), toxicity._flat(other)))
