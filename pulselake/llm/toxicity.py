@@ -24,6 +24,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,7 @@ ASIDE = 5  # one of so many labelled documents sets thresholds
 FEW = 50  # labelled documents up to which all of them teach and set thresholds
 BINS = 1000  # of logits by one
 BLOCK = 1 << 12  # weights averaged together
+MARKS = 1 << 26  # bits in which labelled ids are marked by hash: 8 MB, whatever the number of labels
 
 
 class _Rows(dict):
@@ -272,19 +274,43 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def coded(texts: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, at, chars, words) of all texts (doc_id, text): place and length of the text, its words as rows of the vectors."""
+def hashed(name: str, id_type: T.DataType, modulus: int) -> Column:
+    """An id's hash; ids are hashed in the type that labels have."""
+    return F.pmod(F.xxhash64(F.col(name).try_cast(id_type)), F.lit(modulus))
+
+
+def marks(known: DataFrame) -> np.ndarray:
+    """A bit for each hash of the ids (_id) of labels. Where many share a bit, more texts are made ready in vain; the join decides."""
+    bit = hashed("_id", known.schema["_id"].dataType, MARKS) + 1
+    found = known.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    bits = np.zeros(MARKS // 8, np.uint8)
+    for r in found.collect():  # ``MARKS`` bits at most
+        bits[(r.bucket - 1) * len(r.bits) : r.bucket * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def _marked(batches, bits: np.ndarray):
+    """Of batches with the hash in their last column, the rows whose bit is set, without that column."""
+    for batch in batches:
+        at = batch.column(batch.num_columns - 1).to_numpy()
+        chosen = (bits[at >> 3] >> (at & 7)) & 1 == 1
+        if chosen.any():
+            yield batch.select(batch.schema.names[:-1]).filter(pa.array(chosen))
+
+
+def coded(texts: DataFrame, net: Network, bits: Broadcast) -> DataFrame:
+    """(doc_id, at, chars, words) of the marked texts (doc_id, text, mark): place and length of the text, its words as rows of the vectors."""
     kept = Kept(texts.sparkSession, net, rows_of)
 
     def run(batches):
         row_of = kept.get()
-        for batch in batches:
+        for batch in _marked(batches, bits.value):
             found = [t or "" for t in batch.column(2).to_pylist()]
             packed = [_pack([row_of[w] for w in words(t)]) for t in found]
             yield pa.record_batch([*batch.columns[:2], pa.array([len(t) for t in found], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "at", "chars", "words"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", F.monotonically_increasing_id().alias("at"), "text").mapInArrow(run, f"doc_id {id_type}, at bigint, chars bigint, words binary")
+    return texts.select("doc_id", F.monotonically_increasing_id().alias("at"), "text", "mark").mapInArrow(run, f"doc_id {id_type}, at bigint, chars bigint, words binary")
 
 
 def _portions(batches) -> Iterator[tuple[int, list[np.ndarray], list[int]]]:
@@ -341,19 +367,19 @@ def refine(known: DataFrame, net: Network, batch: int = 64, dropped: float = 0.3
     return done
 
 
-def placed(texts: DataFrame, models: tuple[Network, language_id.LanguageModel]) -> DataFrame:
-    """(doc_id, lang, bin) of all texts (doc_id, text): language as found, logit in steps of 1 / ``BINS``."""
+def placed(texts: DataFrame, models: tuple[Network, language_id.LanguageModel], bits: Broadcast) -> DataFrame:
+    """(doc_id, lang, bin) of the marked texts (doc_id, text, mark): language as found, logit in steps of 1 / ``BINS``."""
     kept = Kept(texts.sparkSession, models, Scorer)
 
     def run(batches):
         scorer = kept.get()
-        for batch in batches:
+        for batch in _marked(batches, bits.value):
             found = [t or "" for t in batch.column(1).to_pylist()]
             bins = np.floor(np.clip(scorer.logits(found), -50, 50) * BINS).astype(np.int32)
             yield pa.record_batch([batch.column(0), pa.array(list(scorer.language.predict(found)[0]), pa.string()), pa.array(bins)], names=["doc_id", "lang", "bin"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang string, bin int")
+    return texts.select("doc_id", "text", "mark").mapInArrow(run, f"doc_id {id_type}, lang string, bin int")
 
 
 def whole_cuts(known: DataFrame, default: dict[str, float]) -> dict[str, float]:
@@ -364,11 +390,6 @@ def whole_cuts(known: DataFrame, default: dict[str, float]) -> dict[str, float]:
     return _cuts(columns[0], (columns[1] + 0.5) / BINS, columns[2].astype(np.float64), columns[3].astype(np.float64)) if counted else default
 
 
-def aside(name: str, id_type: T.DataType) -> Column:
-    """Whether the text of an id sets thresholds; ids are hashed in the type that labels have."""
-    return F.pmod(F.xxhash64(F.col(name).try_cast(id_type)), F.lit(ASIDE)) == 0
-
-
 def train(
     docs: DataFrame, labels: DataFrame, learn_from: Column, samples: int = 3000, max_chars: int = 20_000
 ) -> tuple[Network, language_id.LanguageModel]:
@@ -381,7 +402,8 @@ def train(
     known = labels.filter(learn_from).select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("_label"))
     known = known.filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
     few = len(known.limit(FEW).collect()) < FEW
-    apart = aside("_id", labels.schema["doc_id"].dataType)
+    id_type = labels.schema["doc_id"].dataType
+    apart = hashed("_id", id_type, ASIDE) == 0
     taught = known if few else known.filter(~apart)
     picked = [taught.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(samples) for k in (0, 1)]
     ids = picked[0].unionByName(picked[1])
@@ -392,14 +414,12 @@ def train(
     net = fit([r.text for r in got], [r._label for r in got], language)
     if net.constant is not None:
         return net, language
-    texts = docs.filter(learn_from).select("doc_id", "text")
-    if few:
-        texts = texts.join(F.broadcast(known.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    texts = docs.filter(learn_from).select("doc_id", "text", hashed("doc_id", id_type, MARKS).alias("mark"))
+    own, bits = hashed("doc_id", id_type, ASIDE) == 0, docs.sparkSession.sparkContext.broadcast(marks(known))
     # Labels meet what was made of a text, not the text. By sort-merge whatever the size: shuffles grow with the input.
     labelled = lambda made, ids: made.hint("merge").join(ids, F.col("doc_id") == F.col("_id")).withColumnRenamed("_label", "label")
-    own = aside("doc_id", labels.schema["doc_id"].dataType)
-    net = refine(labelled(coded(texts if few else texts.filter(~own), net), taught), net)
-    judged = placed(texts if few else texts.filter(own), (net, language))
+    net = refine(labelled(coded(texts if few else texts.filter(~own), net, bits), taught), net)
+    judged = placed(texts if few else texts.filter(own), (net, language), bits)
     net.cuts = whole_cuts(labelled(judged, known if few else known.filter(apart)), {"": 0.0})
     return net, language
 

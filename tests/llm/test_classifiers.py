@@ -188,3 +188,13 @@ def test_toxicity_shuffles_no_texts_and_learns_the_same_whatever_the_join(docs,
     one, other = nets
     assert one.cuts == other.cuts and abs(one.bias - other.bias) < 1e-12
     assert all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for a, b in zip(toxicity._flat(one), toxicity._flat(other)))
+
+
+def test_toxicity_makes_only_labelled_texts_ready(docs, spark):
+    labels = spark.createDataFrame([(i,) for i in (*range(0, 50_000, 10), 5, 5)], "_id bigint")
+    bits = spark.sparkContext.broadcast(toxicity.marks(labels))
+    net = toxicity.Network(np.zeros(0, np.int64), np.zeros((1, 2), np.float32), [], [], np.zeros(0), 0.0)
+    mark = toxicity.hashed("doc_id", labels.schema["_id"].dataType, toxicity.MARKS).alias("mark")
+    df = docs(["a b"] * 1000, ids=[*range(999), None]).select("doc_id", "text", mark)
+    got = [r.doc_id for r in toxicity.coded(df, net, bits).collect()]
+    assert {*range(0, 999, 10), 5} <= set(got) and len(got) < 110
